@@ -1,0 +1 @@
+"""Empty on purpose: all operators of this engine are batch operators."""
