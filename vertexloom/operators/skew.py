@@ -27,14 +27,15 @@ ROWS_PER_PARTITION = 4_000_000
 
 
 def partition_by(rows: DataFrame, n_rows: int, keys: list[str]) -> DataFrame:
-    """Hash partitioning for a table that many rounds join on ``keys``.
+    """Hash partitioning and order for a table that many rounds join on ``keys``.
 
-    At least the session's shuffle partitions, so that Spark moves only the
-    other side of each join, and more if partitions would grow too large.
+    Persisted in this form it is neither moved nor sorted again by the joins.
+    It gets at least the session's shuffle partitions, so that Spark moves only
+    the other side of each join, and more if partitions would grow too large.
     """
     configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_size = math.ceil(n_rows / ROWS_PER_PARTITION)
-    return rows.repartition(max(configured, by_size), *keys)
+    return rows.repartition(max(configured, by_size), *keys).sortWithinPartitions(*keys)
 
 
 def hottest(counts: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
