@@ -132,7 +132,7 @@ def _until_stable(
             .select("v", "rank", F.abs(F.col("rank") - F.col("before")).alias("moved"))
         )
         following = scratch.save(following, f"rank-{i}")
-        moved = following.agg(F.max("moved")).first()[0]
+        moved = following.agg(F.max("moved")).first()[0] or 0.0
         scratch.drop(state)
         state = following
     return state.select("v", "rank")

@@ -16,6 +16,26 @@ from vertexloom.functions.types import tag_of_type
 from vertexloom.graph import PropertyGraph
 
 
+# Columns of the tables the two graphs are built from.
+TABLES = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string,"
+    " o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint,"
+    " l_linenumber int, l_quantity double, l_extendedprice double, l_discount double,"
+    " l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string,"
+    " p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+}
+
+
 def element_id(label: str, key: Column | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit(label + "_"), key.cast("string"))
@@ -77,8 +97,14 @@ def _text_or_null(timestamp: Column | None) -> Column:
     return timestamp.cast("string").alias("timestamp")
 
 
+def _seconds(column: str) -> Column:
+    """Timestamp as text without fractions, whatever the session time zone."""
+    return F.substring(F.col(column).cast("string"), 1, 19)
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """A table of the folder; the stated schema spares a job that infers it."""
+    return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}.parquet")
 
 
 def commerce(spark: SparkSession, folder: str, **options) -> PropertyGraph:
@@ -111,7 +137,7 @@ def commerce(spark: SparkSession, folder: str, **options) -> PropertyGraph:
         vertices_of(
             order_date, name, "order", "o_orderkey",
             {"status": "o_orderstatus", "priority": "o_orderpriority", "day": "day"},
-            F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"),
+            _seconds("o_orderdate"),
         ),
         vertices_of(
             part, name, "part", "p_partkey",
@@ -188,6 +214,6 @@ def refers(
         events.where(F.col("value") > above), name, F.col("event_type"),
         element_id("event", "event_id"), element_id("user", "user_id"),
         element_id("user", referred), {"value": "value"},
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        _seconds("ts"),
     )
     return PropertyGraph(users, links, **options)
