@@ -32,14 +32,15 @@ def connected_components(
     )
     members = scratch.save(members, "members")
     scratch.drop(*moves)
-    # Numbers sort like ids, so the smallest number belongs to the smallest id.
-    names = (
-        members.groupBy(F.col("label").alias("name_of"))
-        .agg(F.min("v").alias("v"))
-        .join(graph.vertices, "v")
-        .select("name_of", F.col("id").alias("component"))
+    return name_components(members, graph.n_vertices, hot_rows)
+
+
+def name_components(members: DataFrame, n_rows: int, hot_rows: int) -> DataFrame:
+    """``(id, component)`` from ``(v, id, label)``: the smallest id of each label."""
+    names = members.groupBy(F.col("label").alias("name_of")).agg(
+        F.min("id").alias("component")
     )
-    hot = find_hot(members, "label", graph.n_vertices, hot_rows)
+    hot = find_hot(members, "label", n_rows, hot_rows)
     return lookup_join(members, "label", names, "name_of", hot, "v").select(
         "id", "component"
     )

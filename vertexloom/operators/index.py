@@ -1,9 +1,8 @@
 """Compact form of a graph for the iterative algorithms.
 
 Ids are strings of any length; the loops shuffle them many times.  One pass
-replaces them by 64-bit numbers that sort like the ids, drops edges with an
-endpoint that is not a vertex, and merges parallel edges into one row with a
-multiplicity.
+replaces them by 64-bit numbers, drops edges with an endpoint that is not a
+vertex, and merges parallel edges into one row with a multiplicity.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from vertexloom.operators.skew import find_hot, lookup_join
 
 @dataclass(frozen=True)
 class IndexedGraph:
-    vertices: DataFrame  # (v, id), v ascending with id
+    vertices: DataFrame  # (v, id)
     edges: DataFrame  # (s, d, m), distinct pairs with their multiplicity
     n_vertices: int
     n_edges: int
@@ -28,13 +27,11 @@ class IndexedGraph:
 def index_graph(
     vertices: DataFrame, edges: DataFrame, scratch: Scratch, hot_rows: int
 ) -> IndexedGraph:
-    # The sort is by range partitions, and monotonically_increasing_id grows
-    # with the partition number, so numbers follow the order of the ids.
-    # Writing the numbers pins them: a retried task could not renumber.
+    # Reading the numbers back from a table pins them: a stage that is run again
+    # could number the rows differently.
     numbered = (
         vertices.select("id")
         .distinct()
-        .orderBy("id")
         .select(F.monotonically_increasing_id().alias("v"), "id")
     )
     numbered = scratch.save(numbered, "vertices")

@@ -90,13 +90,14 @@ def _round(
 
     The first round needs no join since all ranks are 1.  Later a source that is
     missing from the state has no in-edges, hence the constant rank ``reset``.
+    The edges are persisted in join order, so a merge join sorts the state only.
     """
     if state is None:
         sent = weighted.select("d", "w")
     else:
         keys = [c for c in weighted.columns if c in ("s", SLICE)]
         senders = slice_table(state.withColumnRenamed("v", "s"), "s", hot)
-        sent = weighted.join(senders, keys, "left").select(
+        sent = weighted.join(senders.hint("merge"), keys, "left").select(
             "d", (F.col("w") * F.coalesce("rank", F.lit(reset))).alias("w")
         )
     rank = F.lit(reset) + F.lit(1 - reset) * F.sum("w")

@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+ROWS_PER_PARTITION = 4_000_000
+HOT_ROWS = ROWS_PER_PARTITION  # a key beyond this would fill a partition alone
 MAX_HOT_KEYS = 10_000
 SLICE = "__slice"
-ROWS_PER_PARTITION = 4_000_000
 
 
 def partition_by(rows: DataFrame, n_rows: int, keys: list[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.operators.components import name_components
 from vertexloom.operators.index import IndexedGraph
 from vertexloom.operators.scratch import Scratch
 from vertexloom.operators.skew import (
@@ -44,7 +45,8 @@ def strongly_connected_components(
             break
         turn += 1
         labels = _spread(edges, n_edges, turn, scratch, hot_rows)
-        found.append(_resolved(labels, scratch, hot_rows, turn))
+        resolved = _resolved(labels, 2 * n_edges, hot_rows)
+        found.append(scratch.save(resolved, f"resolved-{turn}"))
         rest = _inner_edges(edges, n_edges, labels, hot_rows)
         rest = scratch.save(rest, f"scc-edges-{turn}")
         scratch.drop(edges, labels)
@@ -55,17 +57,11 @@ def strongly_connected_components(
         return graph.vertices.select("id", F.col("id").alias("component"))
     named = reduce(DataFrame.unionByName, found)
     members = graph.vertices.join(named, "v", "left").select(
-        "v", "id", F.coalesce("c", "v").alias("c")
+        "v", "id", F.coalesce("label", "v").alias("label")
     )
     members = scratch.save(members, "scc-members")
     scratch.drop(*found)
-    names = graph.vertices.select(
-        F.col("v").alias("name_of"), F.col("id").alias("component")
-    )
-    hot = find_hot(members, "c", graph.n_vertices, hot_rows)
-    return lookup_join(members, "c", names, "name_of", hot, "v").select(
-        "id", "component"
-    )
+    return name_components(members, graph.n_vertices, hot_rows)
 
 
 def _trim(
@@ -187,19 +183,14 @@ def _exchange(
     return labels.select("p", "v", "f", "b").join(got, "p", "left")
 
 
-def _resolved(
-    labels: DataFrame, scratch: Scratch, hot_rows: int, turn: int
-) -> DataFrame:
-    """Vertices ``(v, c)`` whose component is known, ``c`` its smallest vertex."""
-    done = scratch.save(
-        labels.where("f = b").select("v", F.col("f").alias("pivot")), "done"
+def _resolved(labels: DataFrame, n_rows: int, hot_rows: int) -> DataFrame:
+    """Vertices ``(v, label)`` whose component is known, named by its pivot."""
+    done = labels.where("f = b").select("p", "v", "f")
+    pivots = done.where("p = f").select(
+        F.col("p").alias("pivot"), F.col("v").alias("label")
     )
-    names = done.groupBy(F.col("pivot").alias("name_of")).agg(F.min("v").alias("c"))
-    hot = find_hot(done, "pivot", done.count(), hot_rows)
-    resolved = lookup_join(done, "pivot", names, "name_of", hot, "v").select("v", "c")
-    resolved = scratch.save(resolved, f"resolved-{turn}")
-    scratch.drop(done)
-    return resolved
+    hot = find_hot(done, "f", n_rows, hot_rows)
+    return lookup_join(done, "f", pivots, "pivot", hot, "p").select("v", "label")
 
 
 def _inner_edges(
