@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tests.graphs import make_graph
@@ -59,22 +60,27 @@ def test_hub_is_spread_over_slices(spark):
     assert len(sizes) > 5 and max(sizes) < sum(sizes) / 3
 
 
-def test_rounds_do_not_move_the_edges(spark):
+@pytest.mark.parametrize("hot_rows", [3, 1000])
+def test_rounds_do_not_move_the_edges(spark, monkeypatch, hot_rows):
     """The persisted edges of PageRank are joined without exchange or sort."""
-    graph = make_graph(spark, list("abcd"), [("a", x) for x in "abcd"] * 2, hot_rows=3)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        weighted, hot = _weighted_edges(graph._indexed(), 3)
-        assert hot is not None
-        weighted.persist().count()
-        state = spark.createDataFrame([(0, 1.0)], "s bigint, rank double")
-        plan = weighted.join(
-            skew.slice_table(state, "s", hot), ["s", SLICE], "left"
-        )._jdf.queryExecution().executedPlan().toString()
-        weighted.unpersist()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    monkeypatch.setattr(skew, "MIN_ROWS_PER_PARTITION", 0)
+    graph = make_graph(
+        spark, list("abcd"), [("a", x) for x in "abcd"] * 2, hot_rows=hot_rows
+    )
+    edges = _weighted_edges(graph._indexed(), graph._scratch, hot_rows)
+    assert (edges.hot is not None) == (hot_rows == 3)
+    edges.rows.count()
+    states = spark.createDataFrame([(0, 1.0)], "s bigint, rank double")
+    joined = edges.join(states, "left")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    edges.release()
     left = plan.split("InMemoryRelation")[0]
     assert "SortMergeJoin" in left
     assert "Exchange" not in left and "Sort [" not in left
+
+
+def test_small_tables_are_left_to_the_optimizer(spark):
+    graph = make_graph(spark, list("ab"), [("a", "b")])
+    edges = _weighted_edges(graph._indexed(), graph._scratch, 1000)
+    assert not edges.aligned
+    edges.release()

@@ -15,7 +15,7 @@ from vertexloom.operators.filters import exclude_labels
 from vertexloom.operators.index import IndexedGraph, index_graph
 from vertexloom.operators.pagerank import pagerank
 from vertexloom.operators.scratch import Scratch
-from vertexloom.operators.skew import HOT_ROWS, hottest, lookup_join
+from vertexloom.operators.skew import HOT_ROWS, find_hot, lookup_join
 from vertexloom.operators.strong_components import strongly_connected_components
 from vertexloom.operators.writeback import set_property
 
@@ -55,10 +55,9 @@ class PropertyGraph:
     def drop_dangling(self) -> PropertyGraph:
         """Keep only edges whose two endpoints are vertices."""
         ids = self.vertices.select("id").distinct().withColumnRenamed("id", "end")
-        kept = self.edges
+        kept, n_edges = self.edges, self.edges.count()
         for endpoint, spread_by in (("src", "dst"), ("dst", "src")):
-            counts = degrees.edge_counts(self.edges, endpoint)
-            hot = hottest(counts, endpoint, self.hot_rows)
+            hot = find_hot(self.edges, endpoint, n_edges, self.hot_rows)
             kept = lookup_join(kept, endpoint, ids, "end", hot, spread_by, "left_semi")
         return replace(self, edges=kept.select(*self.edges.columns))
 

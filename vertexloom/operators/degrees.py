@@ -29,12 +29,7 @@ def fill_zero(vertices: DataFrame, degrees: DataFrame) -> DataFrame:
     )
 
 
-def edge_counts(edges: DataFrame, endpoint: str) -> DataFrame:
-    """Number of edges ``n`` per value of ``src`` or ``dst``."""
-    return edges.groupBy(endpoint).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _degrees(edges: DataFrame, endpoint: str) -> DataFrame:
-    return edge_counts(edges, endpoint).select(
-        F.col(endpoint).alias("id"), F.col("n").alias("degree")
+    return edges.groupBy(F.col(endpoint).alias("id")).agg(
+        F.count(F.lit(1)).alias("degree")
     )

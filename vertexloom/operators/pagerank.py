@@ -14,8 +14,8 @@ from vertexloom.operators.index import IndexedGraph
 from vertexloom.operators.scratch import Scratch
 from vertexloom.operators.skew import (
     SLICE,
+    RoundTable,
     hottest,
-    partition_by,
     slice_rows,
     slice_table,
 )
@@ -44,15 +44,14 @@ def pagerank(
     elif tol <= 0:
         raise ValueError("tol must be positive")
 
-    weighted, hot = _weighted_edges(graph, hot_rows)
-    weighted.persist()
+    edges = _weighted_edges(graph, scratch, hot_rows)
     try:
         if tol is None:
-            state = _fixed_rounds(weighted, hot, scratch, reset, max_iter)
+            state = _fixed_rounds(edges, scratch, reset, max_iter)
         else:
-            state = _until_stable(weighted, hot, scratch, reset, tol, graph.n_vertices)
+            state = _until_stable(edges, scratch, reset, tol, graph.n_vertices)
     finally:
-        weighted.unpersist()
+        edges.release()
 
     # Vertices without in-edges are not in the state: their rank is ``reset``.
     total, n_state = state.agg(F.sum("rank"), F.count(F.lit(1))).first()
@@ -64,50 +63,48 @@ def pagerank(
 
 
 def _weighted_edges(
-    graph: IndexedGraph, hot_rows: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Edges ``(s, d, w)``, partitioned once by source so that no round moves them.
-
-    Sources with very many edges are sliced over several partitions.
-    """
+    graph: IndexedGraph, scratch: Scratch, hot_rows: int
+) -> RoundTable:
+    """Edges ``(s, d, w)`` by source, ``w`` the share of its rank an edge carries."""
     sources = graph.edges.groupBy("s").agg(
         F.sum("m").alias("out"), F.count(F.lit(1)).alias("n")
     )
-    hot = hottest(sources, "s", hot_rows) if graph.n_edges > hot_rows else None
+    hot = None
+    if graph.n_edges > hot_rows:
+        sources = scratch.save(sources, "sources")
+        hot = hottest(sources, "s", hot_rows)
     keys = ["s"] if hot is None else ["s", SLICE]
     weighted = (
         slice_rows(graph.edges, "s", hot, "d")
         .join(slice_table(sources.select("s", "out"), "s", hot), keys)
         .select(*keys, "d", (F.col("m") / F.col("out")).alias("w"))
     )
-    return partition_by(weighted, graph.n_edges, keys), hot
+    return RoundTable.of(weighted, "s", hot, graph.n_edges)
 
 
-def _round(
-    weighted: DataFrame, hot: DataFrame | None, state: DataFrame | None, reset: float
-) -> DataFrame:
+def _round(edges: RoundTable, state: DataFrame | None, reset: float) -> DataFrame:
     """Next state ``(v, rank)``, for the vertices with in-edges only.
 
     The first round needs no join since all ranks are 1.  Later a source that is
     missing from the state has no in-edges, hence the constant rank ``reset``.
-    The edges are persisted in join order, so a merge join sorts the state only.
     """
     if state is None:
-        sent = weighted.select("d", "w")
+        sent = edges.rows.select("d", "w")
     else:
-        keys = [c for c in weighted.columns if c in ("s", SLICE)]
-        senders = slice_table(state.withColumnRenamed("v", "s"), "s", hot)
-        sent = weighted.join(senders.hint("merge"), keys, "left").select(
+        senders = state.select(F.col("v").alias("s"), "rank")
+        sent = edges.join(senders, "left").select(
             "d", (F.col("w") * F.coalesce("rank", F.lit(reset))).alias("w")
         )
     rank = F.lit(reset) + F.lit(1 - reset) * F.sum("w")
     return sent.groupBy(F.col("d").alias("v")).agg(rank.alias("rank"))
 
 
-def _fixed_rounds(weighted, hot, scratch: Scratch, reset, rounds: int) -> DataFrame:
+def _fixed_rounds(
+    edges: RoundTable, scratch: Scratch, reset: float, rounds: int
+) -> DataFrame:
     state = saved = None
     for i in range(1, rounds + 1):
-        state = _round(weighted, hot, state, reset)
+        state = _round(edges, state, reset)
         if i % ROUNDS_PER_SAVE == 0 or i == rounds:
             state = scratch.save(state, f"rank-{i}")
             scratch.drop(saved)
@@ -116,9 +113,9 @@ def _fixed_rounds(weighted, hot, scratch: Scratch, reset, rounds: int) -> DataFr
 
 
 def _until_stable(
-    weighted, hot, scratch: Scratch, reset, tol: float, n_vertices: int
+    edges: RoundTable, scratch: Scratch, reset: float, tol: float, n_vertices: int
 ) -> DataFrame:
-    state = scratch.save(_round(weighted, hot, None, reset), "rank-1")
+    state = scratch.save(_round(edges, None, reset), "rank-1")
     moved, n_state = state.agg(
         F.max(F.abs(F.col("rank") - 1)), F.count(F.lit(1))
     ).first()
@@ -128,7 +125,7 @@ def _until_stable(
         i += 1
         before = state.withColumnRenamed("rank", "before")
         following = (
-            _round(weighted, hot, state, reset)
+            _round(edges, state, reset)
             .join(before, "v")
             .select("v", "rank", F.abs(F.col("rank") - F.col("before")).alias("moved"))
         )

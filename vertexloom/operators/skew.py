@@ -16,28 +16,19 @@ from __future__ import annotations
 
 import math
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_PARTITION = 4_000_000
+MIN_ROWS_PER_PARTITION = 10_000
 HOT_ROWS = ROWS_PER_PARTITION  # a key beyond this would fill a partition alone
 MAX_HOT_KEYS = 10_000
 SLICE = "__slice"
 
 
-def partition_by(rows: DataFrame, n_rows: int, keys: list[str]) -> DataFrame:
-    """Hash partitioning and order for a table that many rounds join on ``keys``.
-
-    Persisted in this form it is neither moved nor sorted again by the joins.
-    It gets at least the session's shuffle partitions, so that Spark moves only
-    the other side of each join, and more if partitions would grow too large.
-    """
-    configured = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_size = math.ceil(n_rows / ROWS_PER_PARTITION)
-    return rows.repartition(max(configured, by_size), *keys).sortWithinPartitions(*keys)
-
-
 def hottest(counts: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
     """Hot keys of ``counts(key, n)`` as ``(hot_key, slices)``; None if there are none."""
     rows = (
@@ -112,3 +103,47 @@ def lookup_join(
         table = slice_table(table, "__key", hot).withColumnRenamed(SLICE, "__copy")
         condition &= F.col(SLICE) == F.col("__copy")
     return rows.join(table, condition, how).drop("__key", SLICE, "__copy")
+
+
+@dataclass(frozen=True)
+class RoundTable:
+    """A long table that every round of a loop joins with new states.
+
+    It is sliced, hash-partitioned and sorted by its key once and persisted in
+    that form, so a round moves and sorts the states only.
+    """
+
+    rows: DataFrame
+    keys: list[str]
+    hot: DataFrame | None
+    aligned: bool
+
+    @classmethod
+    def of(
+        cls, sliced: DataFrame, key: str, hot: DataFrame | None, n_rows: int
+    ) -> RoundTable:
+        """From rows that went through :func:`slice_rows` with the same ``hot``.
+
+        With fewer partitions than the session shuffles into, Spark would move
+        the rows in each join after all; with too few rows per partition a round
+        is all scheduling.  Small tables are therefore left to the optimizer.
+        """
+        keys = [key] if hot is None else [key, SLICE]
+        configured = int(
+            sliced.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        )
+        aligned = n_rows >= configured * MIN_ROWS_PER_PARTITION
+        if aligned:
+            partitions = max(configured, math.ceil(n_rows / ROWS_PER_PARTITION))
+            sliced = sliced.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        return cls(sliced.persist(), keys, hot, aligned)
+
+    def join(self, states: DataFrame, how: str = "inner") -> DataFrame:
+        """Join with states that have one row per key, under the key's name."""
+        states = slice_table(states, self.keys[0], self.hot)
+        if self.aligned:
+            states = states.hint("merge")
+        return self.rows.join(states, self.keys, how)
+
+    def release(self) -> None:
+        self.rows.unpersist()

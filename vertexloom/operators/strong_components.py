@@ -19,14 +19,7 @@ from pyspark.sql import functions as F
 from vertexloom.operators.components import name_components
 from vertexloom.operators.index import IndexedGraph
 from vertexloom.operators.scratch import Scratch
-from vertexloom.operators.skew import (
-    SLICE,
-    find_hot,
-    lookup_join,
-    partition_by,
-    slice_rows,
-    slice_table,
-)
+from vertexloom.operators.skew import RoundTable, find_hot, lookup_join, slice_rows
 
 TRIM_AGAIN_ABOVE = 0.1  # share of the edges a trim must remove to be repeated
 
@@ -121,9 +114,8 @@ def _spread(
         ).alias("e")
     ).select("e.*")
     hot = find_hot(ends, "sender", 2 * n_edges, hot_rows)
-    keys = ["sender"] if hot is None else ["sender", SLICE]
     links = slice_rows(ends.drop("v"), "sender", hot, "p")
-    links = partition_by(links, 2 * n_edges, keys).persist()
+    links = RoundTable.of(links, "sender", hot, 2 * n_edges)
 
     labels = (
         ends.select(F.col("sender").alias("p"), "v")
@@ -140,7 +132,7 @@ def _spread(
     n_labels = labels.count()
     try:
         while not labels.where("changed").isEmpty():
-            following = _exchange(links, keys, hot, labels)
+            following = _exchange(links, labels)
             for column in ("f", "b"):
                 pivots = labels.select(
                     F.col("p").alias("pivot"), F.col(column).alias("leap")
@@ -163,17 +155,15 @@ def _spread(
             scratch.drop(labels)
             labels = following
     finally:
-        links.unpersist()
+        links.release()
     return labels
 
 
-def _exchange(
-    links: DataFrame, keys: list[str], hot: DataFrame | None, labels: DataFrame
-) -> DataFrame:
+def _exchange(links: RoundTable, labels: DataFrame) -> DataFrame:
     """Labels with the best value each vertex got from its neighbours."""
     senders = labels.where("changed").select(F.col("p").alias("sender"), "f", "b")
     got = (
-        links.join(slice_table(senders, "sender", hot), keys)
+        links.join(senders)
         .groupBy("p")
         .agg(
             F.min(F.when(F.col("forward"), F.col("f"))).alias("got_f"),
