@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,26 +63,22 @@ def test_hub_is_spread_over_slices(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [3, 1000])
-def test_rounds_do_not_move_the_edges(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize("rows_per_partition", [1, 2, 5, 10_000])
+def test_rounds_do_not_move_the_edges(spark, monkeypatch, hot_rows, rows_per_partition):
     """The persisted edges of PageRank are joined without exchange or sort."""
-    monkeypatch.setattr(skew, "MIN_ROWS_PER_PARTITION", 0)
+    monkeypatch.setattr(skew, "MIN_ROWS_PER_PARTITION", rows_per_partition)
     graph = make_graph(
         spark, list("abcd"), [("a", x) for x in "abcd"] * 2, hot_rows=hot_rows
     )
     edges = _weighted_edges(graph._indexed(), graph._scratch, hot_rows)
     assert (edges.hot is not None) == (hot_rows == 3)
+    assert edges.partitions == max(2, min(4, math.ceil(4 / rows_per_partition)))
     edges.rows.count()
     states = spark.createDataFrame([(0, 1.0)], "s bigint, rank double")
     joined = edges.join(states, "left")
+    joined.collect()
     plan = joined._jdf.queryExecution().executedPlan().toString()
     edges.release()
     left = plan.split("InMemoryRelation")[0]
     assert "SortMergeJoin" in left
     assert "Exchange" not in left and "Sort [" not in left
-
-
-def test_small_tables_are_left_to_the_optimizer(spark):
-    graph = make_graph(spark, list("ab"), [("a", "b")])
-    edges = _weighted_edges(graph._indexed(), graph._scratch, 1000)
-    assert not edges.aligned
-    edges.release()

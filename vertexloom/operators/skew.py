@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_PARTITION = 4_000_000
+ROWS_PER_PARTITION = 10_000_000
 MIN_ROWS_PER_PARTITION = 10_000
 HOT_ROWS = ROWS_PER_PARTITION  # a key beyond this would fill a partition alone
 MAX_HOT_KEYS = 10_000
@@ -110,13 +110,14 @@ class RoundTable:
     """A long table that every round of a loop joins with new states.
 
     It is sliced, hash-partitioned and sorted by its key once and persisted in
-    that form, so a round moves and sorts the states only.
+    that form; states are brought to the same partitioning, so a round moves and
+    sorts the states only.
     """
 
     rows: DataFrame
     keys: list[str]
     hot: DataFrame | None
-    aligned: bool
+    partitions: int
 
     @classmethod
     def of(
@@ -124,25 +125,24 @@ class RoundTable:
     ) -> RoundTable:
         """From rows that went through :func:`slice_rows` with the same ``hot``.
 
-        With fewer partitions than the session shuffles into, Spark would move
-        the rows in each join after all; with too few rows per partition a round
-        is all scheduling.  Small tables are therefore left to the optimizer.
+        The number of partitions follows the size: the session's setting, less
+        if a round of a small table would be all scheduling, and more if
+        partitions would grow too large.
         """
         keys = [key] if hot is None else [key, SLICE]
-        configured = int(
-            sliced.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        setting = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(
+            min(setting, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)),
+            math.ceil(n_rows / ROWS_PER_PARTITION),
+            2,  # a single partition would not count as hash-partitioned
         )
-        aligned = n_rows >= configured * MIN_ROWS_PER_PARTITION
-        if aligned:
-            partitions = max(configured, math.ceil(n_rows / ROWS_PER_PARTITION))
-            sliced = sliced.repartition(partitions, *keys).sortWithinPartitions(*keys)
-        return cls(sliced.persist(), keys, hot, aligned)
+        rows = sliced.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        return cls(rows.persist(), keys, hot, partitions)
 
     def join(self, states: DataFrame, how: str = "inner") -> DataFrame:
         """Join with states that have one row per key, under the key's name."""
         states = slice_table(states, self.keys[0], self.hot)
-        if self.aligned:
-            states = states.hint("merge")
+        states = states.repartition(self.partitions, *self.keys).hint("merge")
         return self.rows.join(states, self.keys, how)
 
     def release(self) -> None:
