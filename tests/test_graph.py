@@ -1,3 +1,5 @@
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.graphs import as_dict, make_graph
@@ -56,6 +58,17 @@ def test_degrees_count_loops_copies_and_dangling_edges(spark):
     assert graph.in_degree().schema["degree"].dataType.simpleString() == "bigint"
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from("abcde"), st.sampled_from("abcdef"))))
+def test_degrees_add_up_to_the_edges(spark, pairs):
+    graph = make_graph(spark, list("abcde"), pairs)
+    for degrees in (graph.in_degree(), graph.out_degree()):
+        assert sum(as_dict(degrees).values()) == len(pairs)
+    assert as_dict(graph.out_degree(fill_zero=True)) == {
+        i: sum(s == i for s, _ in pairs) for i in "abcde"
+    }
+
+
 def test_excluded_vertices_leave_their_edges(spark):
     graph = sample_graph(spark).exclude(vertex_labels=["software"])
     assert tuple(graph.count().first()) == (4, 6)

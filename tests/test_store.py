@@ -100,6 +100,19 @@ def test_nothing_to_merge(spark, store):
     assert store._latest("modern", "v") == version
 
 
+def test_expired_snapshots_are_deleted(spark, store, tmp_path):
+    for _ in range(3):
+        store.merge(sample_graph(spark).vertices, "modern", "v")
+    folder = tmp_path / "store" / "v" / "modern"
+    assert len(list(folder.iterdir())) == 4
+    assert store.expire("modern", "v", keep=2) == 2
+    assert len(list(folder.iterdir())) == 2
+    assert store.read("modern", "v").count() == 6
+    assert store.expire("test", "v") == 0
+    with pytest.raises(ValueError):
+        store.expire("modern", "v", keep=0)
+
+
 def test_concurrent_writer_is_noticed(spark, store, monkeypatch):
     latest, calls = store._latest, []
 

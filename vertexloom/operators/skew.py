@@ -18,7 +18,6 @@ import math
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +44,7 @@ def hottest(counts: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
     found = rows.collect()  # at most MAX_HOT_KEYS small rows
     if not found:
         return None
-    return counts.sparkSession.createDataFrame(
-        pd.DataFrame(found, columns=rows.columns), schema=rows.schema
-    )
+    return counts.sparkSession.createDataFrame(found, rows.schema)
 
 
 def find_hot(rows: DataFrame, key: str, n_rows: int, hot_rows: int) -> DataFrame | None:

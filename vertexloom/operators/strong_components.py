@@ -134,7 +134,7 @@ def _spread(
         while not labels.where("changed").isEmpty():
             following = _exchange(links, labels)
             for column in ("f", "b"):
-                pivots = labels.select(
+                pivots = labels.where("changed").select(
                     F.col("p").alias("pivot"), F.col(column).alias("leap")
                 )
                 hot_pivots = find_hot(labels, column, n_labels, hot_rows)

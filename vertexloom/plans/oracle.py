@@ -401,6 +401,10 @@ ALL: dict[str, str] = {
         f"WITH {_VERTEX_PROPERTIES} SELECT {_FLAT} FROM vp WHERE key <> 'name'"
     ),
     "table_round_trip": _commerce("SELECT label, COUNT(*) AS cnt FROM v GROUP BY label"),
+    "table_from_query": _commerce(
+        "SELECT id, src, dst FROM e WHERE label <> 'contains'"
+    ),
+    "global_view": _commerce("SELECT id, label FROM v"),
     "export_json": _json("v"),
     "export_json_edges": _json("e"),
 }

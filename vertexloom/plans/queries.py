@@ -419,6 +419,24 @@ def table_round_trip(spark, folder):
     return reports.label_counts(spark.table(name))
 
 
+def table_from_query(spark, folder):
+    """A table made from a query, partitioned by label."""
+    name = f"vertexloom_edges_{uuid.uuid4().hex}"
+    catalog.save_as_table(
+        commerce(spark, folder).edges, name, _new_folder(spark, "table"), ["label"]
+    )
+    return spark.table(name).where("label <> 'contains'").select("id", "src", "dst")
+
+
+def global_view(spark, folder):
+    """Vertices read through a view that all sessions share."""
+    name = f"vertexloom_{uuid.uuid4().hex}"
+    catalog.publish_view(commerce(spark, folder).vertices, name, everywhere=True)
+    found = spark.sql(f"SELECT id, label FROM global_temp.{name}")
+    catalog.drop_view(spark, name, everywhere=True)
+    return found
+
+
 def export_json(spark, folder):
     return to_json_rows(commerce(spark, folder).vertices)
 
@@ -482,6 +500,8 @@ ALL: dict[str, Query] = {
         job_component_excluding,
         job_drop_keys,
         table_round_trip,
+        table_from_query,
+        global_view,
         export_json,
         export_json_edges,
     )
