@@ -21,6 +21,7 @@ from vertexloom.operators.index import IndexedGraph
 from vertexloom.operators.scratch import Scratch
 from vertexloom.operators.skew import RoundTable, find_hot, lookup_join, slice_rows
 
+ROUNDS_BEFORE_LEAPS = 6  # graphs of small width are done by then
 TRIM_AGAIN_ABOVE = 0.1  # share of the edges a trim must remove to be repeated
 
 
@@ -91,9 +92,9 @@ def _spread(
     """Labels ``(p, v, f, b)``: priority, vertex, and the smallest priority
     among the vertices that reach it (``f``) and that it reaches (``b``).
 
-    Only vertices whose label improved send it on.  In addition a label takes
-    over the label of its own pivot, which doubles the reach each round, so a
-    long path needs logarithmically many rounds.
+    Only vertices whose label improved send it on.  If that takes many rounds, a
+    label also takes over the label of its own pivot, which multiplies the reach
+    each round, so a long path needs logarithmically many rounds.
     """
     ends = edges.select(
         F.explode(
@@ -130,20 +131,17 @@ def _spread(
     )
     labels = scratch.save(labels, "labels")
     n_labels = labels.count()
+    rounds = 0
     try:
         while not labels.where("changed").isEmpty():
+            rounds += 1
+            best = {"f": ["f", "got_f"], "b": ["b", "got_b"]}
             following = _exchange(links, labels)
-            for column in ("f", "b"):
-                pivots = labels.where("changed").select(
-                    F.col("p").alias("pivot"), F.col(column).alias("leap")
-                )
-                hot_pivots = find_hot(labels, column, n_labels, hot_rows)
-                following = lookup_join(
-                    following, column, pivots, "pivot", hot_pivots, "p", "left"
-                )
-                following = following.withColumnRenamed("leap", f"leap_{column}")
-            f = F.least("f", "got_f", "leap_f")
-            b = F.least("b", "got_b", "leap_b")
+            if rounds > ROUNDS_BEFORE_LEAPS:
+                for column, offers in best.items():
+                    following = _leap(following, labels, column, n_labels, hot_rows)
+                    offers.append(f"leap_{column}")
+            f, b = F.least(*best["f"]), F.least(*best["b"])
             following = following.select(
                 "p",
                 "v",
@@ -173,6 +171,17 @@ def _exchange(links: RoundTable, labels: DataFrame) -> DataFrame:
     return labels.select("p", "v", "f", "b").join(got, "p", "left")
 
 
+def _leap(
+    following: DataFrame, labels: DataFrame, column: str, n_labels: int, hot_rows: int
+) -> DataFrame:
+    """Add what the pivot of each label had for a label, as ``leap_<column>``."""
+    pivots = labels.select(
+        F.col("p").alias("pivot"), F.col(column).alias(f"leap_{column}")
+    )
+    hot = find_hot(labels, column, n_labels, hot_rows)
+    return lookup_join(following, column, pivots, "pivot", hot, "p", "left")
+
+
 def _resolved(labels: DataFrame, n_rows: int, hot_rows: int) -> DataFrame:
     """Vertices ``(v, label)`` whose component is known, named by its pivot."""
     done = labels.where("f = b").select("p", "v", "f")

@@ -18,51 +18,41 @@ _PROPERTIES = StructField("properties", PROPERTIES_TYPE)
 SAMPLE_VERTEX_SCHEMA = StructType(_HEAD + [_PROPERTIES])
 SAMPLE_EDGE_SCHEMA = StructType(_HEAD + _ENDS + [_PROPERTIES])
 
+_TEXT, _INTEGER, _FLOAT = "java.lang.String", "java.lang.Integer", "java.lang.Float"
+
 # The sample data.
-_PEOPLE = [
-    (1, "marko", 29, "USA"),
-    (2, "vadas", 27, "USA"),
-    (4, "josh", 32, "France"),
-    (6, "peter", 29, "Germany"),
+_VERTICES = [
+    (1, "person", [("name", _TEXT, "marko"), ("age", _INTEGER, "29"), ("country", _TEXT, "USA")]),
+    (2, "person", [("name", _TEXT, "vadas"), ("age", _INTEGER, "27"), ("country", _TEXT, "USA")]),
+    (3, "software", [("name", _TEXT, "lop"), ("lang", _TEXT, "java")]),
+    (4, "person", [("name", _TEXT, "josh"), ("age", _INTEGER, "32"), ("country", _TEXT, "France")]),
+    (5, "software", [("name", _TEXT, "ripple"), ("lang", _TEXT, "C++")]),
+    (6, "person", [("name", _TEXT, "peter"), ("age", _INTEGER, "29"), ("country", _TEXT, "Germany")]),
 ]
-_SOFTWARE = [(3, "lop", "java"), (5, "ripple", "C++")]
 _EDGES = [
-    (7, "knows", 1, 2, "0.5"),
-    (8, "knows", 1, 4, "1.0"),
-    (9, "created", 1, 3, "0.6"),
-    (10, "created", 4, 5, "0.7"),
-    (11, "created", 4, 3, "0.2"),
-    (12, "created", 6, 3, "0.3"),
+    (7, "knows", 1, 2, [("weight", _FLOAT, "0.5")]),
+    (8, "knows", 1, 4, [("weight", _FLOAT, "1.0")]),
+    (9, "created", 1, 3, [("weight", _FLOAT, "0.6")]),
+    (10, "created", 4, 5, [("weight", _FLOAT, "0.7")]),
+    (11, "created", 4, 3, [("weight", _FLOAT, "0.2")]),
+    (12, "created", 6, 3, [("weight", _FLOAT, "0.3")]),
 ]
 
 
-def _text(key: str, value: str) -> tuple[str, str, str]:
-    return (key, "java.lang.String", value)
-
-
 def sample_graph(spark: SparkSession, **options) -> PropertyGraph:
     def name(number: int) -> str:
         return f"{DATASOURCE}_{number}"
 
-    people = [
-        (
-            DATASOURCE,
-            name(n),
-            "person",
-            [_text("name", who), ("age", "java.lang.Integer", str(age)), _text("country", land)],
-        )
-        for n, who, age, land in _PEOPLE
-    ]
-    software = [
-        (DATASOURCE, name(n), "software", [_text("name", title), _text("lang", lang)])
-        for n, title, lang in _SOFTWARE
+    vertices = [
+        (DATASOURCE, name(number), label, properties)
+        for number, label, properties in _VERTICES
     ]
     edges = [
-        (DATASOURCE, name(n), label, name(src), name(dst), [("weight", "java.lang.Float", w)])
-        for n, label, src, dst, w in _EDGES
+        (DATASOURCE, name(number), label, name(src), name(dst), properties)
+        for number, label, src, dst, properties in _EDGES
     ]
     return PropertyGraph(
-        spark.createDataFrame(people + software, SAMPLE_VERTEX_SCHEMA),
+        spark.createDataFrame(vertices, SAMPLE_VERTEX_SCHEMA),
         spark.createDataFrame(edges, SAMPLE_EDGE_SCHEMA),
         **options,
     )
