@@ -237,7 +237,7 @@ def _compare(part, threshold: float):
     frames += [pd.DataFrame({"node": n, "other": o, "n": 0}) for n, o in joined]
     frames = [f for f in frames if len(f)]
     if not frames:
-        return pd.DataFrame({"node": [], "other": [], "n": []})
+        return pd.DataFrame({"node": [], "other": [], "n": []}).astype({"node": object, "other": object, "n": "int64"})
     out = pd.concat(frames, ignore_index=True)
     links = out[out["other"].isna()].groupby("node", as_index=False)["n"].sum()
     links.insert(1, "other", None)
