@@ -16,7 +16,8 @@ import numpy as np
 
 from vertexloom.llm.common import tokenizer_file
 
-MAX_WORDS = 600_000  # words remembered by one worker, then it starts afresh
+MAX_WORDS = 1_000_000  # stretches between blanks remembered by one worker, then it starts afresh
+MAX_PIECES = 300_000  # and matches of the pattern
 
 #: The public pattern in the syntax of ``re``; the two agree on the characters of PLAIN.
 PIECES = re.compile(
@@ -34,6 +35,9 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+_FOUR = int.to_bytes
+
+
 class _Remembered(dict):
     """Ids of words as bytes of little-endian uint32; fills itself."""
 
@@ -54,6 +58,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.letters = byte_letters()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -68,7 +73,9 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        found = self.tokens.get(mapped)
+        ids = (found,) if found is not None else [t.id for t in self.model.tokenize(mapped)]
+        return b"".join([_FOUR(i, 4, "little") for i in ids])
 
     def _word(self, word: str) -> bytes:
         if not PLAIN.fullmatch(word):
@@ -80,9 +87,11 @@ class Encoder:
             return np.zeros(0, "<u4")
         if self.special is not None and self.special.search(text):
             return np.frombuffer(self._whole(text), "<u4")
-        for words in (self.after_blank, self.other, self.pieces):
+        for words in (self.after_blank, self.other):
             if len(words) > self.max_words:
                 words.clear()
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces.clear()
         if BLANK_AFTER_SPACE.search(text):
             parts = WORD_STARTS.split(text)
             return np.frombuffer(b"".join(map(self.other.__getitem__, parts)), "<u4")
