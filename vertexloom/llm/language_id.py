@@ -8,8 +8,6 @@ switch labels spans; the language with most letters names the document.
 
 from __future__ import annotations
 
-import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import sampled, trainable
+from vertexloom.llm.common import mix64, sampled, trainable
 
 SAMPLE_DOCS = 3_000  # training documents of each language, about
 BUCKETS = 1 << 16  # hashed letter groups
@@ -27,6 +25,7 @@ SCRIPT_SHARE = 0.01  # a language uses a script if so many of its words are in i
 WORD_RANGE = 6.0  # one word counts against a language by so much at most
 SWITCH = 12.0  # penalty for a change of language
 MAX_WORDS = 400_000  # words one worker remembers, then it starts afresh
+TOGETHER = 500_000  # characters of texts whose new words are scored at once
 UNKNOWN = "und"
 
 #: First and last code points of scripts, in order.
@@ -56,24 +55,64 @@ SCRIPTS = [
     (0x4E00, 0x9FFF, "Han"),
     (0xAC00, 0xD7AF, "Hangul"),
 ]
-_FIRST = [s[0] for s in SCRIPTS]
+_FIRST = np.array([s[0] for s in SCRIPTS])
+_LAST = np.array([s[1] for s in SCRIPTS])
+_NAMES = [*dict.fromkeys(s[2] for s in SCRIPTS), "Other"]
+_INDEX = np.array([_NAMES.index(s[2]) for s in SCRIPTS])
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
+_EDGE = 10  # code of the line feed between words
+_MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
-def script_of(word: str) -> str | None:
-    """Script of the first letter; "Other" beyond the table, None without letters."""
-    for ch in word:
-        if ch.isalpha():
-            i = bisect_right(_FIRST, ord(ch)) - 1
-            return SCRIPTS[i][2] if i >= 0 and ord(ch) <= SCRIPTS[i][1] else "Other"
-    return None
+@dataclass(frozen=True)
+class WordParts:
+    """Letter groups of many words: ``bucket[i]`` belongs to word ``word[i]``."""
+
+    letters: np.ndarray  # per word
+    script: np.ndarray  # per word, index of the first letter's script; -1 without letters
+    word: np.ndarray
+    bucket: np.ndarray
 
 
-def letter_groups(word: str) -> list[int]:
-    """Buckets of the one to three letter groups and of the whole word."""
-    own = "".join(ch for ch in word.lower() if ch.isalpha())
-    edged = f"<{own}>"
-    groups = [edged] + [edged[i : i + n] for n in (1, 2, 3) for i in range(len(edged) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in groups]
+def split_words(words: list[str]) -> WordParts:
+    """One to three letter groups, edges of the word included, and the word as a whole.
+
+    Only letters count, in lower case; all words are cut at once.
+    """
+    text = "\n" + "\n".join(words).lower() + "\n"
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = codes == _EDGE
+    letter = np.where(codes < 0x10000, _LETTER[np.minimum(codes, 0xFFFF)], True)
+    word = np.cumsum(edge) - 1
+    letters = np.bincount(word[letter], minlength=len(words) + 1)[: len(words)]
+    keep = edge | letter
+    codes, edge, word = codes[keep].astype(np.uint64), edge[keep], word[keep]
+    inside = np.flatnonzero(~edge)
+    script = np.full(len(words), -1)
+    first = inside[np.diff(word[inside], prepend=-1) > 0]
+    at = np.searchsorted(_FIRST, codes[first].astype(np.int64), side="right") - 1
+    known = (at >= 0) & (codes[first] <= _LAST[np.maximum(at, 0)])
+    script[word[first]] = np.where(known, _INDEX[np.maximum(at, 0)], len(_NAMES) - 1)
+    owners, hashes = [], []
+    with np.errstate(over="ignore"):
+        for n in (1, 2, 3):
+            start = np.arange(len(codes) - n + 1)
+            ok = ~edge[start] if n == 1 else ~edge[start + 1] if n == 3 else ~(edge[start] & edge[start + 1])
+            start = start[ok]
+            hashed = np.full(len(start), n, np.uint64)
+            for k in range(n):
+                hashed += codes[start + k] * _MIX[k]
+            owners.append(word[start])
+            hashes.append(mix64(hashed))
+        if len(first):
+            place = (inside - np.repeat(first, np.diff(np.append(np.searchsorted(inside, first), len(inside))))).astype(np.uint64)
+            whole = np.add.reduceat(mix64(codes[inside] + place * _MIX[0]), np.searchsorted(inside, first))
+            owners.append(word[first])
+            hashes.append(mix64(whole))
+    bucket = (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    owner = np.concatenate(owners)
+    used = owner < len(words)
+    return WordParts(letters, script, owner[used], bucket[used])
 
 
 @dataclass(frozen=True)
@@ -106,12 +145,12 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageMo
                 for text in part["text"].array:
                     for word in text.split():
                         seen[word] = seen.get(word, 0) + 1
-                groups, scripts = np.zeros(BUCKETS, np.int64), {}
-                for word, n in seen.items():
-                    script = script_of(word)
-                    if script is not None:
-                        scripts[script] = scripts.get(script, 0) + n
-                        np.add.at(groups, letter_groups(word), n)
+                parts = split_words(list(seen))
+                times = np.fromiter(seen.values(), np.int64, len(seen))
+                groups = np.bincount(parts.bucket, weights=times[parts.word], minlength=BUCKETS).astype(np.int64)
+                has = parts.script >= 0
+                uses = np.bincount(parts.script[has], weights=times[has], minlength=len(_NAMES)).astype(np.int64)
+                scripts = {name: int(n) for name, n in zip(_NAMES, uses) if n}
                 at = np.flatnonzero(groups)
                 yield pd.DataFrame({"lang": language, "script": "", "bucket": at, "n": groups[at]})
                 yield pd.DataFrame({"lang": language, "script": list(scripts), "bucket": -1, "n": list(scripts.values())})
@@ -135,33 +174,39 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageMo
     return LanguageModel(languages, np.log(shares / shares.sum()), (logs - logs.mean(1, keepdims=True)).astype(np.float32), scripts)
 
 
-class _Words(dict):
-    """Row of each word in the score table; fills itself."""
+class _Words:
+    """Scores and letters of the words seen, by row."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
         self.model = model
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
-        self.letters = np.zeros(1024, np.int32)
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.letters[at] = n = sum(map(str.isalpha, word))
-        self.scores[at] = self.word_scores(word) if n else 0
-        self[word] = at
-        return at
-
-    def word_scores(self, word: str) -> np.ndarray:
+        self.row: dict[str, int] = {}
+        self.scores = np.zeros((0, len(model.languages)), np.float32)
+        self.letters = np.zeros(0, np.int64)
+        self.uses = np.zeros((len(_NAMES) + 1, len(model.languages)), bool)
+        for i, name in enumerate(_NAMES):
+            if name in model.scripts:
+                self.uses[i] = model.scripts[name]
+
+    def learn(self, words: list[str]) -> None:
         """0 for the likeliest language, less for others; all 0 if no language uses the script."""
-        uses = self.model.scripts.get(script_of(word))
-        if uses is None or not uses.any():
-            return np.zeros(len(self.model.languages), np.float32)
-        found = self.model.table[letter_groups(word)].sum(0)
+        parts = split_words(words)
+        found = np.column_stack(
+            [np.bincount(parts.word, weights=self.model.table[parts.bucket, k], minlength=len(words)) for k in range(len(self.model.languages))]
+        )
+        uses = self.uses[parts.script]
         found = np.where(uses, found, -np.inf)
-        return np.maximum(found - found.max(), -WORD_RANGE)
+        top = found.max(axis=1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            found = np.where(uses.any(axis=1)[:, None], np.maximum(found - top, -WORD_RANGE), 0)
+        at = len(self.row)
+        self.row.update(zip(words, range(at, at + len(words))))
+        room = max(len(self.row), len(self.letters))
+        if room > len(self.letters):
+            room = max(room, 2 * len(self.letters), 1024)
+            self.scores = np.concatenate([self.scores, np.zeros((room - len(self.letters), found.shape[1]), np.float32)])
+            self.letters = np.concatenate([self.letters, np.zeros(room - len(self.letters), np.int64)])
+        self.scores[at : at + len(words)] = found
+        self.letters[at : at + len(words)] = parts.letters
 
 
 def viterbi(scores: np.ndarray, switch: float) -> list[int]:
@@ -194,14 +239,30 @@ class Labeller:
         self.model, self.switch = model, switch
         self.words = _Words(model)
 
-    def label(self, text: str | None) -> tuple[str, float, list[tuple[str, int, int]]]:
-        """``(language, score, spans)``; spans are ``(language, first word, last word)``."""
-        if not isinstance(text, str) or not self.model.languages:
-            return UNKNOWN, 0.0, []
-        if len(self.words) > MAX_WORDS:
+    def labels(self, texts) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
+        """``(language, score, spans)`` of each text; spans are ``(language, first word, last word)``."""
+        out, group, held = [], [], 0
+        for text in texts:
+            group.append(text if isinstance(text, str) else "")
+            held += len(group[-1])
+            if held > TOGETHER:
+                out.extend(self._group(group))
+                group, held = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list:
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0, [])] * len(texts)
+        if len(self.words.row) > MAX_WORDS:
             self.words = _Words(self.model)
-        parts = text.split()
-        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        split, row = [t.split() for t in texts], self.words.row
+        new = dict.fromkeys(w for parts in split for w in parts if w not in row)
+        if new:
+            self.words.learn(list(new))
+        return [self._label(parts) for parts in split]
+
+    def _label(self, parts: list[str]) -> tuple[str, float, list[tuple[str, int, int]]]:
+        at = np.fromiter(map(self.words.row.__getitem__, parts), np.int64, len(parts))
         letters = self.words.letters[at]
         n_letters = int(letters.sum())
         if n_letters == 0:
@@ -239,7 +300,7 @@ def language_labels(docs: DataFrame, model: LanguageModel, text: str = "text", s
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(shared.value, switch)
         for texts in batches:
-            rows = [labeller.label(t) for t in texts.array]
+            rows = labeller.labels(texts.array)
             yield pd.DataFrame(
                 {
                     "lang": [r[0] for r in rows],
