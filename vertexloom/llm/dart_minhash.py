@@ -216,7 +216,7 @@ def _buckets(own: DataFrame, scratch: Scratch, weighted: bool, bands: Bands) ->
                     sets, held = [], 0
             if sets:
                 found.extend(band_hashes(x, bands) for x in signatures(sets, bands.coordinates))
-            yield pd.DataFrame({"node": keys, "bands": found})
+            yield pd.DataFrame({"node": pd.Series(keys, dtype=object), "bands": pd.Series(found, dtype=object)})
 
     signed = own.select("text_key", "text").mapInPandas(sign, "node string, bands array<long>")
     signed = signed.groupBy("node").agg(F.first("bands").alias("bands"))  # equal for equal texts
@@ -245,7 +245,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, weighted: bo
                 if a != last:
                     last, left = a, document_elements(text_a, weighted)
                 keep.append(similarity(left, document_elements(text_b, weighted)) >= threshold)
-            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+            keep = np.array(keep, bool)
+            yield pd.DataFrame({"a": batch["a"].to_numpy(object)[keep], "b": batch["b"].to_numpy(object)[keep]})
 
     of_a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))

@@ -152,8 +152,9 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageMo
                 uses = np.bincount(parts.script[has], weights=times[has], minlength=len(_NAMES)).astype(np.int64)
                 scripts = {name: int(n) for name, n in zip(_NAMES, uses) if n}
                 at = np.flatnonzero(groups)
-                yield pd.DataFrame({"lang": language, "script": "", "bucket": at, "n": groups[at]})
-                yield pd.DataFrame({"lang": language, "script": list(scripts), "bucket": -1, "n": list(scripts.values())})
+                if len(at):
+                    yield pd.DataFrame({"lang": language, "script": "", "bucket": at, "n": groups[at]})
+                    yield pd.DataFrame({"lang": language, "script": list(scripts), "bucket": -1, "n": list(scripts.values())})
 
     found = own.where(chosen).select("lang", "text").mapInPandas(count, "lang string, script string, bucket int, n long")
     totals = found.groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most

@@ -111,10 +111,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
         .drop("__most")
     )
     counts = {r["quality"]: r["n"] for r in marks.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_all = sum(counts.values())
+    share = min(max(counts.get(1, 0) / n_all, 0.01), 0.99) if n_all else 0.5
+    constant = QualityModel(b"", b"", (0.0, 0.0, 0.0), float(np.log(share / (1 - share))))
     if len(counts) < 2:
-        share = next(iter(counts), 0.5)
-        share = min(max(share, 0.01), 0.99)
-        return QualityModel(b"", b"", (0.0, 0.0, 0.0), float(np.log(share / (1 - share))))
+        return constant
     chosen = F.lit(False)
     for quality, n in counts.items():
         chosen |= (F.col("quality") == quality) & sampled(F.col("doc_id"), n, sample_docs)
@@ -129,6 +130,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
     by = {q: [r["text"] for r in rows if r["quality"] == q and r["half"] == 0] for q in (0, 1)}
     if not by[0] or not by[1]:
         by = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
+    if not by[0] or not by[1]:
+        return constant
     good, bad = _dictionary(by[1]), _dictionary(by[0])
     fit = [r for r in rows if r["half"] == 1] or rows
     x = features([r["text"] for r in fit], good, bad)
