@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from vertexloom.operators.pagerank import NotStableError
+
 from tests.graphs import as_dict, make_graph, page_ranks
 from vertexloom.sources.sample import sample_graph
 
@@ -64,7 +66,6 @@ def test_graph_without_edges(spark):
 @pytest.mark.parametrize(
     "params",
     [
-        {"max_iter": 3, "tol": 0.1},
         {"max_iter": 0},
         {"tol": 0.0},
         {"reset": 0.0},
@@ -74,3 +75,10 @@ def test_graph_without_edges(spark):
 def test_parameters_are_checked(spark, params):
     with pytest.raises(ValueError):
         sample_graph(spark).pagerank(**params)
+
+
+def test_tolerance_within_a_bound_of_rounds(spark):
+    with pytest.raises(NotStableError):
+        sample_graph(spark).pagerank(max_iter=2, tol=0.001)
+    bounded = sample_graph(spark).pagerank(max_iter=50, tol=0.001).collect()
+    assert sorted(bounded) == sorted(sample_graph(spark).pagerank(tol=0.001).collect())

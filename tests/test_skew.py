@@ -44,14 +44,23 @@ def test_small_tables_are_not_searched(spark):
     assert find_hot(rows, "k", 1000, 900) is None
 
 
-def test_list_of_hot_keys_is_bounded_and_nothing_is_lost(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT_KEYS", 1)
+@pytest.mark.parametrize("listed", [1, 100])
+def test_every_hot_key_is_split_however_many_there_are(spark, monkeypatch, listed):
+    """A list too long to broadcast changes the plan only."""
+    monkeypatch.setattr(skew, "LISTED_KEYS", listed)
     rows, table = rows_and_table(spark)
-    hot = find_hot(rows, "k", 1000, 50).collect()
-    assert [r.hot_key for r in hot] == [0]
-    plain = rows.join(table, F.col("k") == F.col("key")).drop("key")
-    found = joined(rows, table, "inner")
-    assert sorted(found.collect(), key=str) == sorted(plain.collect(), key=str)
+    counts = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    hot = find_hot(rows, "k", 1000, 50)
+    assert {r.hot_key: r.slices for r in hot.collect()} == {
+        k: -(-n // 50) for k, n in counts.items() if n > 50
+    }
+    assert len([n for n in counts.values() if n > 50]) > 1
+    sliced = slice_rows(rows, "k", hot, "x").groupBy("k").agg(F.countDistinct(SLICE).alias("n"))
+    assert all(r["n"] > 1 for r in sliced.collect() if counts[r["k"]] > 50)
+    for how in ("inner", "left", "left_semi"):
+        plain = rows.join(table, F.col("k") == F.col("key"), how).drop("key")
+        found = joined(rows, table, how)
+        assert sorted(found.collect(), key=str) == sorted(plain.collect(), key=str)
 
 
 def test_hub_is_spread_over_slices(spark):

@@ -106,6 +106,7 @@ def test_expired_snapshots_are_deleted(spark, store, tmp_path):
     folder = tmp_path / "store" / "v" / "modern"
     assert len(list(folder.iterdir())) == 4
     assert store.expire("modern", "v", keep=2) == 2
+    assert store.expire("modern", "v", keep=2) == 0
     assert len(list(folder.iterdir())) == 2
     assert store.read("modern", "v").count() == 6
     assert store.expire("test", "v") == 0
@@ -113,17 +114,34 @@ def test_expired_snapshots_are_deleted(spark, store, tmp_path):
         store.expire("modern", "v", keep=0)
 
 
-def test_concurrent_writer_is_noticed(spark, store, monkeypatch):
-    latest, calls = store._latest, []
+def test_of_two_writers_one_fails(spark, store, monkeypatch):
+    """The second writer comes between the first one's read and its publishing."""
+    publish, inner = store._publish, []
 
-    def moved_on(datasource, kind):
-        calls.append(kind)
-        version, path = latest(datasource, kind)
-        return (version + len(calls) - 1, path)
+    def interrupted(*args):
+        if not inner:
+            inner.append(True)
+            store.merge(sample_graph(spark).vertices.where("id = 'modern_1'"), "modern", "v")
+        publish(*args)
 
-    monkeypatch.setattr(store, "_latest", moved_on)
+    before = store.version("modern", "v")
+    monkeypatch.setattr(store, "_publish", interrupted)
     with pytest.raises(MergeError):
         store.merge(sample_graph(spark).vertices, "modern", "v")
+    assert inner and store.version("modern", "v") == before + 1
+    assert store.read("modern", "v").count() == 6
+
+
+def test_absent_columns_keep_their_stored_values(spark, store):
+    stamped = sample_graph(spark).vertices.withColumn("timestamp", F.lit("2020-01-01 00:00:00"))
+    store.merge(stamped, "modern", "v")
+    store.merge(sample_graph(spark).vertices.where("id = 'modern_1'").drop("timestamp"), "modern", "v")
+    assert store.read("modern", "v").where("timestamp IS NULL").count() == 0
+    store.merge(stamped.where("id = 'modern_1'").select("id", "datasource", F.lit("x").alias("label")), "modern", "v")
+    row = store.read("modern", "v").where("id = 'modern_1'").first()
+    assert (row.label, row.timestamp) == ("x", "2020-01-01 00:00:00") and row.properties
+    with pytest.raises(MergeError):
+        store.merge(stamped.drop("datasource"), "modern", "v")
 
 
 def test_jobs_write_reserved_properties(store):

@@ -24,6 +24,7 @@ LONG_TAG = "java.lang.Long"
 DOUBLE_TAG = "java.lang.Double"
 
 _TYPE_TAGS = {ddl: tag for tag, ddl in TAG_TYPES.items()}
+_TYPE_TAGS["timestamp_ntz"] = "java.sql.Timestamp"
 
 
 def type_of_tag(tag: str) -> str:
@@ -32,7 +33,10 @@ def type_of_tag(tag: str) -> str:
 
 
 def tag_of_type(data_type: DataType) -> str:
-    """Tag under which values of a Spark type are stored; strings if there is none."""
+    """Tag under which values of a Spark type are stored.
+
+    There is none for decimals, nested types and binaries: they are strings.
+    """
     return _TYPE_TAGS.get(data_type.simpleString(), STRING_TAG)
 
 

@@ -23,6 +23,10 @@ from vertexloom.operators.skew import (
 ROUNDS_PER_SAVE = 5
 
 
+class NotStableError(RuntimeError):
+    """The ranks did not settle within the rounds allowed."""
+
+
 def pagerank(
     graph: IndexedGraph,
     scratch: Scratch,
@@ -32,24 +36,29 @@ def pagerank(
     tol: float | None = None,
 ) -> DataFrame:
     """Ranks as ``(id, rank)``; stop after ``max_iter`` rounds (10 if neither is
-    given) or once no rank moves by more than ``tol``."""
-    if max_iter is not None and tol is not None:
-        raise ValueError("give max_iter or tol, not both")
+    given) or once no rank moves by more than ``tol``.
+
+    With both, ``max_iter`` is a bound: :class:`NotStableError` is raised if ranks
+    still move by more than ``tol`` then.  Below the rounding of the sums a ``tol``
+    alone might never be reached.
+    """
     if not 0 < reset <= 1:
         raise ValueError("reset must be in (0, 1]")
-    if tol is None:
-        max_iter = 10 if max_iter is None else max_iter
-        if max_iter < 1:
-            raise ValueError("max_iter must be at least 1")
-    elif tol <= 0:
+    if max_iter is not None and max_iter < 1:
+        raise ValueError("max_iter must be at least 1")
+    if tol is not None and tol <= 0:
         raise ValueError("tol must be positive")
+    if tol is None and max_iter is None:
+        max_iter = 10
 
     edges = _weighted_edges(graph, scratch, hot_rows)
     try:
         if tol is None:
             state = _fixed_rounds(edges, scratch, reset, max_iter)
         else:
-            state = _until_stable(edges, scratch, reset, tol, graph.n_vertices)
+            state = _until_stable(
+                edges, scratch, reset, tol, graph.n_vertices, max_iter
+            )
     finally:
         edges.release()
 
@@ -113,7 +122,12 @@ def _fixed_rounds(
 
 
 def _until_stable(
-    edges: RoundTable, scratch: Scratch, reset: float, tol: float, n_vertices: int
+    edges: RoundTable,
+    scratch: Scratch,
+    reset: float,
+    tol: float,
+    n_vertices: int,
+    max_iter: int | None,
 ) -> DataFrame:
     state = scratch.save(_round(edges, None, reset), "rank-1")
     moved, n_state = state.agg(
@@ -122,6 +136,8 @@ def _until_stable(
     moved = max(moved or 0.0, 1 - reset if n_state < n_vertices else 0.0)
     i = 1
     while moved > tol:
+        if max_iter is not None and i >= max_iter:
+            raise NotStableError(f"ranks still move by {moved} after {i} rounds")
         i += 1
         before = state.withColumnRenamed("rank", "before")
         following = (

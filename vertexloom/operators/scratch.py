@@ -8,6 +8,7 @@ size statistics and can be dropped as soon as the next round replaces it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,10 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    local = re.match(r"local(\[|$)", spark.sparkContext.master)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not local:
             raise RuntimeError(
                 "set spark.checkpoint.dir to a folder shared by all executors"
             )

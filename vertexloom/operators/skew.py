@@ -6,10 +6,10 @@ would send all of them to one task.  Keys above ``hot_rows`` rows are therefore
 split into slices: the long side takes its slice from a hash of a second
 column, the keyed side is copied once per slice.  Results are the same rows.
 
-The list of hot keys is broadcast.  It is bounded by construction: at most the
-``MAX_HOT_KEYS`` largest keys are kept.  When there are more keys above
-``hot_rows``, those left out hold at most 1/MAX_HOT_KEYS of the rows each and
-take the ordinary path, so no row is lost.
+Every key above ``hot_rows`` is split, in as many slices as it takes.  The list of
+hot keys is counted first: up to ``LISTED_KEYS`` it is collected and broadcast;
+a longer one stays a distributed table and is joined by a shuffle, which adaptive
+execution splits where a key is large.
 """
 
 from __future__ import annotations
@@ -24,27 +24,28 @@ from pyspark.sql import functions as F
 ROWS_PER_PARTITION = 10_000_000
 MIN_ROWS_PER_PARTITION = 10_000
 HOT_ROWS = ROWS_PER_PARTITION  # a key beyond this would fill a partition alone
-MAX_HOT_KEYS = 10_000
+LISTED_KEYS = 100_000  # hot keys that may be broadcast, 16 bytes each
 SLICE = "__slice"
 
 
 def hottest(counts: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
     """Hot keys of ``counts(key, n)`` as ``(hot_key, slices)``; None if there are none."""
-    rows = (
-        counts.where(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"))
-        .limit(MAX_HOT_KEYS)
-        .select(
-            F.col(key).alias("hot_key"),
-            F.least(F.ceil(F.col("n") / hot_rows), F.lit(MAX_HOT_KEYS))
-            .cast("int")
-            .alias("slices"),
-        )
+    rows = counts.where(F.col("n") > hot_rows).select(
+        F.col(key).alias("hot_key"),
+        F.ceil(F.col("n") / hot_rows).cast("int").alias("slices"),
     )
-    found = rows.collect()  # at most MAX_HOT_KEYS small rows
+    found = rows.limit(LISTED_KEYS + 1).collect()  # only to learn whether all fit
     if not found:
         return None
-    return counts.sparkSession.createDataFrame(found, rows.schema)
+    if len(found) > LISTED_KEYS:
+        return rows
+    listed = counts.sparkSession.createDataFrame(found, rows.schema)
+    listed._listed = True
+    return listed
+
+
+def _offered(hot: DataFrame) -> DataFrame:
+    return F.broadcast(hot) if getattr(hot, "_listed", False) else hot
 
 
 def find_hot(rows: DataFrame, key: str, n_rows: int, hot_rows: int) -> DataFrame | None:
@@ -62,7 +63,7 @@ def slice_rows(
         return rows
     chosen = F.pmod(F.xxhash64(F.col(spread_by)), F.col("slices")).cast("int")
     return (
-        rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+        rows.join(_offered(hot), F.col(key) == F.col("hot_key"), "left")
         .withColumn(SLICE, F.coalesce(chosen, F.lit(0)))
         .drop("hot_key", "slices")
     )
@@ -74,7 +75,7 @@ def slice_table(table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
         return table
     last = F.coalesce(F.col("slices"), F.lit(1)) - 1
     return (
-        table.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+        table.join(_offered(hot), F.col(key) == F.col("hot_key"), "left")
         .withColumn(SLICE, F.explode(F.sequence(F.lit(0), last)))
         .drop("hot_key", "slices")
     )

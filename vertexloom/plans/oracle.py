@@ -84,7 +84,7 @@ _RE = """
 SELECT 'event_' || event_id AS id, event_type AS label, 'user_' || user_id AS src,
        'user_' || json_extract_string(props, '$.k') AS dst,
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp
-FROM events WHERE value > 150
+FROM events
 """
 
 _COMMERCE = f"v AS MATERIALIZED ({_V}), e AS MATERIALIZED ({_E})"

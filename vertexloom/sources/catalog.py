@@ -16,9 +16,14 @@ def create_table(
     partitions: Sequence[str] = (),
     comment: str | None = None,
 ) -> None:
-    """Create an empty parquet table; with ``path`` an external one."""
+    """Create an empty parquet table; with ``path`` an external one.
+
+    A column's comment is taken from ``comment`` in its field's metadata.
+    """
     columns = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
+        f"`{f.name}` {f.dataType.simpleString()}"
+        + (f" COMMENT {_quoted(f.metadata['comment'])}" if "comment" in f.metadata else "")
+        for f in schema.fields
     )
     statement = f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet"
     if partitions:

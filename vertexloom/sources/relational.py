@@ -200,9 +200,9 @@ def commerce(spark: SparkSession, folder: str, **options) -> PropertyGraph:
 
 
 def refers(
-    spark: SparkSession, folder: str, above: float = 150, **options
+    spark: SparkSession, folder: str, **options
 ) -> PropertyGraph:
-    """Users, linked to the user their events of high value refer to."""
+    """Users, linked to the user that each of their events refers to."""
     name = "refers"
     events = load(spark, folder, "events")
     users = vertices_of(
@@ -211,7 +211,7 @@ def refers(
     )
     referred = F.get_json_object("props", "$.k")
     links = edges_of(
-        events.where(F.col("value") > above), name, F.col("event_type"),
+        events, name, F.col("event_type"),
         element_id("event", "event_id"), element_id("user", "user_id"),
         element_id("user", referred), {"value": "value"},
         _seconds("ts"),
