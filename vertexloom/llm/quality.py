@@ -121,7 +121,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
         chosen |= (F.col("quality") == quality) & sampled(F.col("doc_id"), n, sample_docs)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = (
-        own.join(marks.where(chosen), "doc_id")
+        own.join(F.broadcast(marks.where(chosen)), "doc_id")  # 2 * sample_docs short rows
         .where(F.length("text") > 0)
         .select("doc_id", "quality", "text", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half"))
         .collect()  # bounded by sample_docs
