@@ -29,11 +29,14 @@ HEADLINE = [
     "pagerank",
     "pagerank_tol",
     "pagerank_refers",
+    "pagerank_trade",
+    "pagerank_tol_trade",
     "connected_components",
     "connected_components_commerce",
     "connected_components_refers",
     "strongly_connected_components",
     "strongly_connected_components_commerce",
+    "strongly_connected_components_trade",
     "set_in_degree_property",
     "drop_keys_vertices",
     "property_key_catalogue",

@@ -87,7 +87,20 @@ SELECT 'event_' || event_id AS id, event_type AS label, 'user_' || user_id AS sr
 FROM events
 """
 
+_TV = " UNION ALL ".join(
+    f"SELECT {_id(label, key)} AS id, '{label}' AS label FROM {table}"
+    for label, table, key, _ in _VERTEX_TABLES
+    if label != "region"
+)
+_TE = f"""
+SELECT id, label,
+       CASE WHEN label IN ('supplies', 'lives_in') THEN dst ELSE src END AS src,
+       CASE WHEN label IN ('supplies', 'lives_in') THEN src ELSE dst END AS dst
+FROM ({_E}) WHERE label <> 'in_region'
+"""
+
 _COMMERCE = f"v AS MATERIALIZED ({_V}), e AS MATERIALIZED ({_E})"
+_TRADE = f"v AS MATERIALIZED ({_TV}), e AS MATERIALIZED ({_TE})"
 _REFERS = f"v AS MATERIALIZED ({_RV}), e AS MATERIALIZED ({_RE})"
 _VERTEX_PROPERTIES = f"vp AS ({_VP})"
 _EDGE_PROPERTIES = f"ep AS ({_EP})"
@@ -168,6 +181,38 @@ _STRONG_RESULT = """
 SELECT f.id, MIN(f.other) AS component FROM reach f
 JOIN reach g ON f.id = g.other AND f.other = g.id GROUP BY f.id
 """
+# Every cycle passes through nations.  ``came`` and ``went`` hold the nations a vertex
+# is reached from, and reaches, with no nation in between; ``far`` closes that over
+# nations.  A vertex lies on a cycle if a nation it reaches leads to one it is reached
+# from, and then all three are in one component.
+_TRADE_STRONG = """
+t AS MATERIALIZED (SELECT e.label, e.src, e.dst FROM e WHERE src IN (SELECT id FROM v)
+                   AND dst IN (SELECT id FROM v)),
+c1 AS MATERIALIZED (SELECT dst AS id, src AS n FROM t WHERE label = 'lives_in'),
+c2 AS MATERIALIZED (SELECT DISTINCT t.dst AS id, n FROM t JOIN c1 ON t.src = c1.id WHERE label = 'placed'),
+c3 AS MATERIALIZED (SELECT DISTINCT t.dst AS id, n FROM t JOIN c2 ON t.src = c2.id WHERE label = 'contains'),
+c4 AS MATERIALIZED (SELECT DISTINCT t.dst AS id, n FROM t JOIN c3 ON t.src = c3.id WHERE label = 'supplies'),
+w4 AS MATERIALIZED (SELECT src AS id, dst AS n FROM t WHERE label = 'based_in'),
+w3 AS MATERIALIZED (SELECT DISTINCT t.src AS id, n FROM t JOIN w4 ON t.dst = w4.id WHERE label = 'supplies'),
+w2 AS MATERIALIZED (SELECT DISTINCT t.src AS id, n FROM t JOIN w3 ON t.dst = w3.id WHERE label = 'contains'),
+w1 AS MATERIALIZED (SELECT DISTINCT t.src AS id, n FROM t JOIN w2 ON t.dst = w2.id WHERE label = 'placed'),
+step AS MATERIALIZED (SELECT DISTINCT c4.n AS a, w4.n AS b FROM c4 JOIN w4 USING (id)),
+far(a, b) AS (SELECT id, id FROM v WHERE label = 'nation'
+  UNION SELECT far.a, step.b FROM far JOIN step ON far.b = step.a),
+main AS MATERIALIZED (SELECT f.a AS n, MIN(f.b) AS name FROM far f
+  JOIN far g ON f.a = g.b AND f.b = g.a GROUP BY f.a),
+came AS (SELECT id, id AS n FROM v WHERE label = 'nation' UNION ALL FROM c1
+  UNION ALL FROM c2 UNION ALL FROM c3 UNION ALL FROM c4),
+went AS (SELECT id, id AS n FROM v WHERE label = 'nation' UNION ALL FROM w1
+  UNION ALL FROM w2 UNION ALL FROM w3 UNION ALL FROM w4),
+lies AS MATERIALIZED (SELECT went.id, MIN(main.name) AS name FROM went
+  JOIN far ON went.n = far.a JOIN came ON came.id = went.id AND came.n = far.b
+  JOIN main ON main.n = went.n GROUP BY went.id)
+"""
+_TRADE_STRONG_RESULT = """
+SELECT v.id, COALESCE(s.component, v.id) AS component FROM v LEFT JOIN lies ON v.id = lies.id
+LEFT JOIN (SELECT name, MIN(id) AS component FROM lies GROUP BY name) s ON lies.name = s.name
+"""
 _SMALLEST = """
 best(id, component) USING KEY (id) AS (SELECT id, id FROM v
   UNION (SELECT both_ways.b, MIN(best.component) FROM best
@@ -309,6 +354,9 @@ ALL: dict[str, str] = {
     # The graph has paths of at most two edges: ranks are exact after three rounds.
     "pagerank_tol": _pagerank(_COMMERCE, 0.15, 10),
     "pagerank_refers": _pagerank(_REFERS, 0.15, 10),
+    "pagerank_trade": _pagerank(_TRADE, 0.15, 10),
+    # The ranks' error falls to a fifth in each round; after 30 it is below any digit.
+    "pagerank_tol_trade": _pagerank(_TRADE, 0.8, 30),
     "connected_components": _commerce(_PLACED_COMPONENTS),
     "connected_components_commerce": _recursive(
         _COMMERCE, _SMALLEST, "SELECT id, component FROM best"
@@ -319,6 +367,9 @@ ALL: dict[str, str] = {
     "strongly_connected_components_commerce": _commerce(
         "SELECT id, id AS component FROM v"
     ),
+    "strongly_connected_components_trade": (
+        f"WITH RECURSIVE {_TRADE}, {_TRADE_STRONG} {_TRADE_STRONG_RESULT}"
+    ),
     "component_listing": _recursive(_REFERS, _WEAK, _WEAK_RESULT),
     "component_sizes": _commerce(
         f"SELECT component, COUNT(*) AS size FROM ({_PLACED_COMPONENTS}) GROUP BY component"
@@ -369,6 +420,11 @@ ALL: dict[str, str] = {
         f" FROM ({_degree('src')})",
         _VERTEX_PROPERTIES,
     ),
+    "replace_property_lists": _commerce(
+        "SELECT d.id, 'n_out' AS key, 'java.lang.Long' AS type,"
+        " CAST(d.degree AS VARCHAR) AS value"
+        f" FROM ({_degree('src')}) d JOIN v ON d.id = v.id"
+    ),
     "property_key_catalogue": (
         f"WITH {_VERTEX_PROPERTIES} SELECT key, type, COUNT(*) AS cnt FROM vp"
         " GROUP BY key, type"
@@ -391,11 +447,27 @@ ALL: dict[str, str] = {
         f"SELECT id, label, src, dst FROM e WHERE {_NO_E}"
     ),
     "job_in_degree": _commerce(
-        _result("indegree", "Long", _degree("dst"), "degree")
+        f"SELECT {_FLAT} FROM vp UNION ALL "
+        + _result("indegree", "Long", _degree("dst"), "degree"),
+        _VERTEX_PROPERTIES,
+    ),
+    "job_pagerank": (
+        f"WITH {_VERTEX_PROPERTIES} SELECT {_FLAT} FROM vp UNION ALL"
+        " SELECT id, '_$$pagerank', 'java.lang.Double',"
+        " CAST(CAST(rank AS DECIMAL(18,6)) AS VARCHAR) FROM ("
+        + _pagerank(_COMMERCE, 0.15, 10)
+        + ")"
+    ),
+    "job_scomponent": (
+        f"WITH RECURSIVE {_TRADE}, {_TRADE_STRONG}, {_VERTEX_PROPERTIES}"
+        f" SELECT {_FLAT} FROM vp WHERE id NOT LIKE 'region%' UNION ALL "
+        + _result("scomponent", "String", _TRADE_STRONG_RESULT, "component")
     ),
     "job_component_excluding": _commerce(
-        _result("component", "String", _CUSTOMERS_AND_ORDERS, "component"),
+        f"SELECT {_FLAT} FROM vp UNION ALL "
+        + _result("component", "String", _CUSTOMERS_AND_ORDERS, "component"),
         f"c AS ({_PLACED_COMPONENTS})",
+        _VERTEX_PROPERTIES,
     ),
     "job_drop_keys": (
         f"WITH {_VERTEX_PROPERTIES} SELECT {_FLAT} FROM vp WHERE key <> 'name'"

@@ -21,7 +21,7 @@ from vertexloom.plans.jobs import run_drop_keys, run_job
 from vertexloom.schema import VERTEX_SCHEMA
 from vertexloom.sources import catalog
 from vertexloom.sources.export import to_json_rows
-from vertexloom.sources.relational import commerce, refers
+from vertexloom.sources.relational import commerce, refers, trade
 from vertexloom.sources.store import GraphStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,16 @@ def pagerank_refers(spark, folder):
     return _rounded(refers(spark, folder).pagerank(), "rank")
 
 
+def pagerank_trade(spark, folder):
+    return _rounded(trade(spark, folder).pagerank(), "rank")
+
+
+def pagerank_tol_trade(spark, folder):
+    """Ranks of a graph with cycles, settled far below the digits shown."""
+    ranks = trade(spark, folder).pagerank(reset=0.8, tol=1e-12, max_iter=100)
+    return _rounded(ranks, "rank")
+
+
 def connected_components(spark, folder):
     return _placed(spark, folder).connected_components()
 
@@ -205,6 +215,10 @@ def strongly_connected_components_commerce(spark, folder):
     return commerce(spark, folder).strongly_connected_components()
 
 
+def strongly_connected_components_trade(spark, folder):
+    return trade(spark, folder).strongly_connected_components()
+
+
 def component_listing(spark, folder):
     return refers(spark, folder).connected_components().orderBy("component", "id")
 
@@ -296,6 +310,14 @@ def append_long_properties(spark, folder):
     return _flat(writeback.append_properties(graph.vertices, added))
 
 
+def replace_property_lists(spark, folder):
+    """Vertices with out-edges get a new list; all others lose theirs."""
+    graph = commerce(spark, folder)
+    count = P.make_property("n_out", "java.lang.Long", F.col("degree"))
+    lists = graph.out_degree().select("id", P.property_list(count).alias("properties"))
+    return _flat(writeback.replace_properties(graph.vertices, lists))
+
+
 def property_key_catalogue(spark, folder):
     found = reports.property_catalogue(commerce(spark, folder).vertices)
     return found.orderBy(F.desc("cnt"), "key", "type")
@@ -386,7 +408,22 @@ def store_read_excluding(spark, folder):
 
 def job_in_degree(spark, folder):
     store = _stored(spark, commerce(spark, folder), "commerce")
-    return _result_values(run_job(store, "indegree", "commerce"), "indegree")
+    return _flat(run_job(store, "indegree", "commerce"))
+
+
+def job_pagerank(spark, folder):
+    """All stored properties afterwards; ranks with six decimals."""
+    store = _stored(spark, commerce(spark, folder), "commerce")
+    flat = filters.flatten_properties(run_job(store, "pagerank", "commerce"))
+    rank = F.col("value").cast("double").cast("decimal(18,6)").cast("string")
+    shown = _comparable(F.col("value"), F.col("type"))
+    is_rank = F.col("key") == P.result_key("pagerank")
+    return flat.select("id", "key", "type", F.when(is_rank, rank).otherwise(shown).alias("value"))
+
+
+def job_scomponent(spark, folder):
+    store = _stored(spark, trade(spark, folder), "trade")
+    return _flat(run_job(store, "scomponent", "trade"))
 
 
 def job_component_excluding(spark, folder):
@@ -394,7 +431,7 @@ def job_component_excluding(spark, folder):
     store = _stored(spark, commerce(spark, folder), "commerce")
     excluded = ["nation", "region", "part", "supplier"]
     vertices = run_job(store, "component", "commerce", excluded, NOT_PLACED)
-    return _result_values(vertices, "component")
+    return _flat(vertices)
 
 
 def job_drop_keys(spark, folder):
@@ -469,11 +506,14 @@ ALL: dict[str, Query] = {
         pagerank_alt_params,
         pagerank_tol,
         pagerank_refers,
+        pagerank_trade,
+        pagerank_tol_trade,
         connected_components,
         connected_components_commerce,
         connected_components_refers,
         strongly_connected_components,
         strongly_connected_components_commerce,
+        strongly_connected_components_trade,
         component_listing,
         component_sizes,
         flatten_properties,
@@ -488,6 +528,7 @@ ALL: dict[str, Query] = {
         rerun_replaces_property,
         append_property,
         append_long_properties,
+        replace_property_lists,
         property_key_catalogue,
         dominant_property_type,
         top_property_type,
@@ -497,6 +538,8 @@ ALL: dict[str, Query] = {
         upsert_merge,
         store_read_excluding,
         job_in_degree,
+        job_pagerank,
+        job_scomponent,
         job_component_excluding,
         job_drop_keys,
         table_round_trip,

@@ -1,7 +1,7 @@
 """Property graphs over relational tables.
 
-``vertices_of`` and ``edges_of`` turn any table into elements; ``commerce`` and
-``refers`` are two graphs over the order and event tables of a data folder.
+``vertices_of`` and ``edges_of`` turn any table into elements; ``commerce``,
+``trade`` and ``refers`` are graphs over the order and event tables of a data folder.
 """
 
 from __future__ import annotations
@@ -199,6 +199,24 @@ def commerce(spark: SparkSession, folder: str, **options) -> PropertyGraph:
     )
 
 
+def trade(spark: SparkSession, folder: str, **options) -> PropertyGraph:
+    """The order graph turned into cycles: customer, order, part, supplier, nation
+    and again the customers of that nation.
+
+    ``supplies`` and ``lives_in`` run the other way round here, under the same
+    labels and ids; every other edge between these vertices is kept as it is.
+    """
+    graph = commerce(spark, folder).exclude(["region"], ["in_region"])
+    turned = F.col("label").isin("supplies", "lives_in")
+    name = F.lit("trade")
+    edges = graph.edges.select(
+        "timestamp", name.alias("datasource"), "id", "label", "properties",
+        F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src"),
+        F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst"),
+    )
+    return PropertyGraph(graph.vertices.withColumn("datasource", name), edges, **options)
+
+
 def refers(
     spark: SparkSession, folder: str, **options
 ) -> PropertyGraph:
