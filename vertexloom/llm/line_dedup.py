@@ -137,21 +137,13 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (text_hash() == F.col("__text_hash"))
     joined = docs.join(removed, same, "left")
     gone = F.coalesce("__lines", F.array().cast("array<int>"))
-    kept = F.array_join(
-        F.transform(
-            F.filter(
-                F.arrays_zip(
-                    F.split("text", "\n", -1).alias("line"),
-                    F.sequence(F.lit(0), F.size(F.split("text", "\n", -1)) - 1).alias("at"),
-                ),
-                lambda x: ~F.array_contains(F.col("__lines"), x["at"]),
-            ),
-            lambda x: x["line"],
-        ),
-        "\n",
-    )
+    lines = F.split("text", "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+    # The lambda's variable holds the split lines, so that a text is split once.
+    parts = F.array(F.struct(lines.alias("line"), places.alias("at")))
+    kept = F.transform(parts, lambda p: F.array_join(F.transform(p["at"], lambda i: F.get(p["line"], i)), "\n"))[0]
     columns = [
         F.when(F.size(gone) > 0, kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")
         for c in docs.columns
     ]
-    return joined.select(*columns, gone.alias("__removed"), F.size(F.split("text", "\n", -1)).alias("__n_lines"))
+    return joined.select(*columns, gone.alias("__removed"), F.size(lines).alias("__n_lines"))
