@@ -61,10 +61,13 @@ def summary(
             F.lit(name).alias("section"), key.alias("key"), F.col(value).alias("value")
         )
 
-    chosen = count_where(edges, F.col("label") == edge_label)
+    # Read from the label counts, whose shuffle Spark then reuses: no scan of its own.
+    of_label = F.when(F.col("label") == edge_label, F.col("cnt"))
+    by_label = label_counts(edges)
+    chosen = by_label.agg(F.coalesce(F.sum(of_label), F.lit(0)).alias("cnt"))
     return (
         section("vertex_label", label_counts(vertices), "label", "cnt")
-        .unionByName(section("edge_label", label_counts(edges), "label", "cnt"))
+        .unionByName(section("edge_label", by_label, "label", "cnt"))
         .unionByName(section("edge_count", chosen, F.lit(edge_label), "cnt"))
         .unionByName(section("out_degree", out_degrees, "id", "degree"))
     )
