@@ -163,6 +163,19 @@ def test_licenses(spark, odd):
     assert licenses.find_licenses(files.limit(0), Scratch(spark)).count() == 0
 
 
+def test_licenses_with_hot_notices_and_directories(spark):
+    notice = "Licensed under the Apache License, Version 2.0"
+    rows = [("a/LICENSE", "x\nReleased under the MIT License\ny"), ("a/b/LICENSE", notice), (None, None), (None, notice), ("a/LICENSE", None)]
+    rows += [(f"a/{i}.txt", notice if i % 2 else "plain") for i in range(40)] + [(f"a/b/{i}.txt", "") for i in range(10)] + [("c/d.txt", "plain")] * 3
+    files = spark.createDataFrame(rows, "path string, text string")
+    plain = sorted(licenses.find_licenses(files, Scratch(spark)).collect(), key=str)
+    sliced = sorted(licenses.find_licenses(files, Scratch(spark), hot_rows=3).collect(), key=str)
+    assert sliced == plain and len(plain) == len(rows)
+    inherited = {r["path"]: (r["license"], r["license_path"]) for r in plain if r["origin"] == "inherited"}
+    assert inherited["a/0.txt"] == ("MIT", "a/LICENSE") and inherited["a/b/0.txt"] == ("Apache-2.0", "a/b/LICENSE")
+    assert {r["origin"] for r in plain if r["path"] == "c/d.txt"} == {"none"}
+
+
 def test_tokens_packed_stored_and_read(spark, odd):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     pieces = packing.pack_documents(odd).collect()

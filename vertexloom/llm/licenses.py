@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.scratch import Scratch
+from vertexloom.operators.skew import HOT_ROWS, hottest, lookup_join
 
 MIN_COSINE = 0.6
 
@@ -50,15 +51,14 @@ def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def _weights(units: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """``(key, word, weight, norm)`` of the texts in column ``text``."""
+def _weights(units: DataFrame, idf: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, word, weight)`` of the texts in column ``text``, and ``(key, norm)``."""
     words = units.select(key, F.explode(_words(F.col("text"))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
     weights = words.join(idf, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("weight"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weights.join(norms, key)
+    return weights, weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE, templates=TEMPLATES) -> DataFrame:
+def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE, templates=TEMPLATES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``files`` with ``license``, ``score``, ``origin`` and ``license_path``.
 
     ``files`` needs ``path`` and ``text``; columns of these four names are replaced, all others
@@ -66,6 +66,10 @@ def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_CO
     relied on, 0 without one.  Null and empty texts have no notice; a file without a
     path has no directory and inherits nothing.  Equal scores go to the licence that
     is first by name, and among licence files of a directory to the first path.
+
+    A notice is known by the MD5 of its text, so that the text of a long licence file is not
+    repeated with each of its words.  Notices and directories of more than
+    ``hot_rows`` files are joined in slices.
     """
     spark = files.sparkSession
     names = ["license", "score", "origin", "license_path"]
@@ -74,39 +78,48 @@ def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_CO
     keyed = files.withColumn("__path", F.coalesce("path", F.lit(""))).withColumn("__text", F.xxhash64(text))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOTICE))
     whole = F.when(F.col("__path").rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    found = F.when(text.rlike(NOTICE), F.array_distinct(F.concat(lines, whole)))
+    found = F.when(text.rlike(NOTICE), F.array_distinct(F.transform(F.concat(lines, whole), lambda x: F.lower(F.trim(x)))))
     units = keyed.select("__path", "__text", F.explode(found).alias("text"))
-    units = scratch.save(units.select("__path", "__text", F.lower(F.trim("text")).alias("text")).distinct(), "notices")
+    units = scratch.save(units.withColumn("unit", F.md5("text")), "notices")
 
+    # Repeated rows show the same notice once.
+    marks = scratch.save(units.select("__path", "__text", "unit").distinct(), "marks")
+    counts = marks.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    distinct = scratch.save(units.select("unit", "text").distinct().join(counts, "unit"), "distinct")
     known = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, license string, text string")
-    distinct = scratch.save(units.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    everything = distinct.unionByName(known.select("text", F.lit(1).cast("long").alias("n")))
+    everything = distinct.select("text", "n").unionByName(known.select("text", F.lit(1).cast("long").alias("n")))
     seen = everything.select("n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.sum("n").alias("df"))
     total = everything.agg(F.sum("n").alias("total"))
     idf = seen.join(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("df")).alias("idf"))  # one row
     idf = scratch.save(idf, "idf")
 
-    ours = _weights(distinct.select("text").withColumn("unit", F.col("text")), idf, "unit")
-    theirs = _weights(known, idf, "template").join(F.broadcast(known.select("template", "license")), "template")  # a fixed list
+    ours, our_norms = _weights(distinct, idf, "unit")
+    theirs, their_norms = _weights(known, idf, "template")
+    theirs = theirs.join(their_norms, "template").join(F.broadcast(known.select("template", "license")), "template")  # a fixed list
     theirs = theirs.select("template", "license", "word", F.col("weight").alias("w"), F.col("norm").alias("m"))
-    dots = ours.join(theirs, "word").groupBy("unit", "template", "license").agg((F.sum(F.col("weight") * F.col("w")) / F.first("norm") / F.first("m")).alias("score"))
+    dots = ours.join(theirs, "word").groupBy("unit", "template", "license").agg((F.sum(F.col("weight") * F.col("w")) / F.first("m")).alias("dot"))
+    dots = dots.join(our_norms, "unit").select("unit", "license", (F.col("dot") / F.col("norm")).alias("score"))
     dots = dots.where(F.col("score") >= min_cosine).withColumn("score", F.round("score", 6))
     best = dots.groupBy("unit").agg(F.min(F.struct(-F.col("score"), F.col("license"))).alias("b"))
-    best = best.select(F.col("unit").alias("text"), (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
-    own = units.join(best, "text").groupBy("__path", "__text").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"))).alias("b"))
+    best = best.select("unit", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
+    hot = hottest(distinct.select("unit", "n"), "unit", hot_rows)
+    own = lookup_join(marks, "unit", best, "unit", hot, "__path").groupBy("__path", "__text")
+    own = own.agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"))).alias("b"))
     own = scratch.save(own.select("__path", "__text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "own")
 
     of_files = own.where(F.col("__path").rlike(LICENCE_FILE)).withColumn("above", _directory(F.col("__path")))
     of_files = of_files.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"), F.col("__path"))).alias("b"))
     of_files = of_files.select("above", (-F.col("b.less")).alias("up_score"), F.col("b.license").alias("up_license"), F.col("b.__path").alias("up_path"))
-    directories = keyed.where("path IS NOT NULL").select(_directory(F.col("__path")).alias("__directory")).distinct()
+    directories = keyed.where("path IS NOT NULL").groupBy(_directory(F.col("__path")).alias("__directory")).agg(F.count(F.lit(1)).alias("n"))
+    directories = scratch.save(directories, "directories")
     parts = F.split("__directory", "/", -1)
     chain = F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")), F.array(F.lit("")))
     up = directories.select("__directory", F.explode(F.array_distinct(chain)).alias("above")).join(of_files, "above")
     up = up.groupBy("__directory").agg(F.max_by(F.struct("up_score", "up_license", "up_path"), F.length("above")).alias("u"))
 
     out = keyed.withColumn("__directory", F.when(F.col("path").isNotNull(), _directory(F.col("__path"))))
-    out = out.join(own, ["__path", "__text"], "left").join(up, "__directory", "left")
+    out = out.join(own, ["__path", "__text"], "left")
+    out = lookup_join(out, "__directory", up.withColumnRenamed("__directory", "__up"), "__up", hottest(directories, "__directory", hot_rows), "__path", "left")
     has_own = F.col("license").isNotNull()
     return out.select(
         *[F.col(f"`{c}`") for c in files.columns],
