@@ -114,6 +114,45 @@ def test_expired_snapshots_are_deleted(spark, store, tmp_path):
         store.expire("modern", "v", keep=0)
 
 
+def test_merge_writes_only_its_own_rows(spark, tmp_path):
+    """Deltas over an untouched base; later ones win, and too many are joined into one."""
+    store = GraphStore(spark, str(tmp_path / "store"), delta_share=1e9, max_deltas=2)
+    ids = [f"n{i}" for i in range(50)]
+    store.merge(make_graph(spark, ids, []).vertices, "test", "v")
+    base = store._latest("test", "v")[1]
+    expected = dict.fromkeys(ids, "node")
+    names = VERTEX_SCHEMA.names
+    for turn in range(4):
+        changed = {f"n{turn}": f"a{turn}", "n9": f"b{turn}", f"new{turn}": "c"}
+        rows = [("2020-01-01 00:00:00", "test", i, label, []) for i, label in changed.items()]
+        new = spark.createDataFrame(rows, VERTEX_SCHEMA)
+        # Every second merge lacks a column, which keeps its stored value.
+        store.merge(new.drop("timestamp") if turn % 2 else new, "test", "v")
+        layers = store._latest("test", "v")[1]
+        assert layers[:1] == base and 2 <= len(layers) <= 3
+        expected.update(changed)
+    found = store.read("test", "v")
+    assert found.columns == names
+    rows = {r.id: r for r in found.collect()}
+    assert len(rows) == found.count() == len(expected)
+    assert {i: rows[i].label for i in ids if expected[i] != "node"} == {i: expected[i] for i in ids if expected[i] != "node"}
+    assert rows["n9"].timestamp is not None and rows["new3"].timestamp is None
+    assert store.read("test", "v", ["b3", "c"]).count() == len(expected) - 5
+    assert store.expire("test", "v") == 4
+    assert store.read("test", "v").count() == len(expected)
+    folder = tmp_path / "store" / "v" / "test"
+    assert len(list(folder.iterdir())) == len(store._latest("test", "v")[1])
+
+
+def test_large_deltas_rewrite_the_base(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"))
+    graph = make_graph(spark, ["a", "b"], [("a", "b")])
+    for _ in range(2):
+        store.merge(graph.vertices, "test", "v")
+        assert len(store._latest("test", "v")[1]) == 1
+    assert store.read("test", "v").count() == 2
+
+
 def test_of_two_writers_one_fails(spark, store, monkeypatch):
     """The second writer comes between the first one's read and its publishing."""
     publish, inner = store._publish, []
