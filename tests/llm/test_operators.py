@@ -176,6 +176,15 @@ def test_licenses_with_hot_notices_and_directories(spark):
     assert {r["origin"] for r in plain if r["path"] == "c/d.txt"} == {"none"}
 
 
+@pytest.mark.parametrize("copies", [3, 100_000])
+def test_frequent_notices_keep_their_licence(spark, copies):
+    notices = ["All rights reserved.", "Copyright, all rights reserved", "Released under the MIT License"]
+    rows = [(n, n) for n in notices] + [("mixed", "All rights reserved.\nReleased under the MIT License")]
+    files = spark.createDataFrame(rows, "kind string, text string").join(spark.range(copies)).withColumn("path", F.concat_ws("/", "kind", F.concat("id", F.lit(".txt"))))
+    found = {r["kind"]: r for r in licenses.find_licenses(files, Scratch(spark)).groupBy("kind").agg(F.collect_set("license").alias("of"), F.count("license").alias("n")).collect()}
+    assert {k: (r["of"], r["n"]) for k, r in found.items()} == {k: ([v], copies) for k, v in zip([*notices, "mixed"], ["Proprietary", "Proprietary", "MIT", "MIT"])}
+
+
 def test_tokens_packed_stored_and_read(spark, odd):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     pieces = packing.pack_documents(odd).collect()

@@ -3,12 +3,18 @@
 A notice is a line that names a licence, and for licence files the whole text as
 well.  Notices and templates are sparse vectors of word counts times inverse
 document frequency over all notices and templates; the template with the largest
-cosine gives the licence if it reaches ``MIN_COSINE``.  A file without a notice of its
-own takes the licence of the nearest directory above it that has a licence file.
+cosine gives the licence if it reaches ``MIN_COSINE``.  These weights depend on the
+files: a notice that gets frequent scores lower.  So notices without a licence are
+compared once more by weights taken from the fixed list ``FIXED`` alone, which
+are the same for any number of files.  A file without a notice of its own takes the licence of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +47,10 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the person has waived all copyright: CC0 1.0 public domain dedication"),
     ("Proprietary", "Copyright, all rights reserved"),
 ]
+RESERVED = "Proprietary"  # says no more than that rights are reserved, as other licences do as well
+
+#: Compared by weights of this list alone.
+FIXED = [*TEMPLATES, (RESERVED, "All rights reserved")]
 
 
 def _words(text: Column) -> Column:
@@ -58,14 +68,48 @@ def _weights(units: DataFrame, idf: DataFrame, key: str) -> tuple[DataFrame, Dat
     return weights, weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE, templates=TEMPLATES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _fixed_weights(templates) -> tuple[list, list, float]:
+    """``(word, idf)``, ``(word, [(template, license, weight)])`` of length 1, and the idf of all other words."""
+    counts = [Counter(re.findall(WORD, text.lower())) for _, text in templates]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log(1 + len(counts) / n) for w, n in df.items()}
+    of = {}
+    for i, ((licence, _), c) in enumerate(zip(templates, counts)):
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+        for w, n in c.items():
+            of.setdefault(w, []).append((i, licence, n * idf[w] / norm))
+    return list(idf.items()), list(of.items()), math.log(1 + len(counts))
+
+
+def _fixed_scores(units: DataFrame, templates, min_cosine: float) -> DataFrame:
+    """``(unit, score, license)`` of the units that reach ``min_cosine`` by the templates' own weights."""
+    spark = units.sparkSession
+    idf, of, other = _fixed_weights(templates)
+    idf = spark.createDataFrame(idf, "word string, idf double")
+    of = spark.createDataFrame(of, "word string, of array<struct<template: int, license: string, w: double>>")
+    words = units.select("unit", F.explode(_words(F.col("text"))).alias("word")).groupBy("unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    words = words.join(F.broadcast(idf.join(of, "word")), "word", "left")  # a fixed list
+    weight = F.col("tf") * F.coalesce("idf", F.lit(other))
+    # The entry without a template adds up to the square of the unit's own length.
+    own = F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), (weight * weight).alias("x")))
+    theirs = F.transform("of", lambda t: F.struct(t["template"].alias("template"), t["license"].alias("license"), (weight * t["w"]).alias("x")))
+    dots = words.select("unit", F.explode(F.concat(own, F.coalesce(theirs, F.array().cast("array<struct<template: int, license: string, x: double>>")))).alias("e"))
+    dots = dots.groupBy("unit", "e.template", "e.license").agg(F.sum("e.x").alias("x"))
+    square = F.max(F.when(F.col("license").isNull(), F.col("x")))
+    scored = dots.groupBy("unit").agg(F.sqrt(square).alias("norm"), F.collect_list(F.when(F.col("license").isNotNull(), F.struct("license", "x"))).alias("all"))
+    scored = scored.select("unit", F.array_min(F.transform("all", lambda t: F.struct((-F.round(t["x"] / F.col("norm"), 6)).alias("less"), t["license"].alias("license")))).alias("b"))
+    return scored.select("unit", (-F.col("b.less")).alias("score"), F.col("b.license").alias("license")).where(F.col("score") >= min_cosine)
+
+
+def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE, templates=TEMPLATES, hot_rows: int = HOT_ROWS, fixed=FIXED) -> DataFrame:
     """``files`` with ``license``, ``score``, ``origin`` and ``license_path``.
 
     ``files`` needs ``path`` and ``text``; columns of these four names are replaced, all others
     kept.  ``origin`` is ``own``, ``inherited`` or ``none``; the score is that of the notice
     relied on, 0 without one.  Null and empty texts have no notice; a file without a
     path has no directory and inherits nothing.  Equal scores go to the licence that
-    is first by name, and among licence files of a directory to the first path.
+    is first by name, and among licence files of a directory to the first path.  A
+    reservation of rights found by the fixed weights yields to any other licence.
 
     A notice is known by the MD5 of its text, so that the text of a long licence file is not
     repeated with each of its words.  Notices and directories of more than
@@ -102,9 +146,12 @@ def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_CO
     dots = dots.where(F.col("score") >= min_cosine).withColumn("score", F.round("score", 6))
     best = dots.groupBy("unit").agg(F.min(F.struct(-F.col("score"), F.col("license"))).alias("b"))
     best = best.select("unit", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
+    best = scratch.save(best, "best")
+    rest = _fixed_scores(distinct.join(best, "unit", "left_anti"), fixed, min_cosine)
+    best = best.withColumn("yields", F.lit(False)).unionByName(rest.withColumn("yields", F.col("license") == RESERVED))
     hot = hottest(distinct.select("unit", "n"), "unit", hot_rows)
     own = lookup_join(marks, "unit", best, "unit", hot, "__path").groupBy("__path", "__text")
-    own = own.agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"))).alias("b"))
+    own = own.agg(F.min(F.struct("yields", (-F.col("score")).alias("less"), "license")).alias("b"))
     own = scratch.save(own.select("__path", "__text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "own")
 
     of_files = own.where(F.col("__path").rlike(LICENCE_FILE)).withColumn("above", _directory(F.col("__path")))
