@@ -266,6 +266,26 @@ def test_nearest(spark, points):
     assert pstable_ann.nearest(table.limit(0), Scratch(spark), F.col("vec_id") >= 0).count() == 0
 
 
+def test_nearest_deals_many_queries_of_one_bucket(spark, monkeypatch):
+    rows = vectors.of_rows(spark.range(1, 600).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i)).alias("v")), "id", "v")
+    rows = rows.unionByName(spark.createDataFrame([(600, [1e6] * 8)], "vec_id long, v array<double>"))  # all others lie in a few cells
+    dealt = []
+
+    def deal(*args):
+        dealt.append(own(*args))
+        return dealt[-1]
+
+    own = pstable_ann._deal
+    monkeypatch.setattr(pstable_ann, "_deal", deal)
+    whole = sorted(pstable_ann.nearest(rows, Scratch(spark), F.col("vec_id") >= 0).collect())
+    parts = sorted(pstable_ann.nearest(rows, Scratch(spark), F.col("vec_id") >= 0, block=50, queries_at_once=50).collect())
+    monkeypatch.setattr(pstable_ann, "HELD_ROWS", 100)
+    assert sorted(pstable_ann.nearest(rows, Scratch(spark), F.col("vec_id") >= 0, block=50, queries_at_once=50).collect()) == parts
+    assert parts == whole and len(parts) == 600 * 20
+    most = [asked.groupBy("g", "part").count().agg(F.max("count")).first()[0] for _, asked in dealt]
+    assert most[0] > 300 and max(n for n in most[1:] if n) < 100
+
+
 def test_recall_of_registered_search(spark):
     rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").orderBy("vec_id").collect()
     x = np.array([r["embedding"] for r in rows], float)

@@ -31,7 +31,10 @@ CELL = 2.0  # width of a cell, in units of the largest norm
 SAMPLE_ROWS = 4_000  # fitted on about so many rows
 SAMPLE_QUERIES = 200
 AIM = 0.97  # recall aimed at on the sample
-BLOCK = 2_000  # rows of a bucket that meet a query in one task call
+BLOCK = 2_000  # rows of a bucket, and queries, in one product
+QUERIES = 20_000  # queries in one task call, about
+VISITS = 1_000_000  # buckets they visit there, about
+HELD_ROWS = 1_000_000  # pairs found that a task call holds before it cuts them to the best of each query
 
 
 @dataclass(frozen=True)
@@ -111,6 +114,7 @@ def nearest(
     directions: int = DIRECTIONS,
     cell: float = CELL,
     block: int = BLOCK,
+    queries_at_once: int = QUERIES,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` from ``rows(vec_id, v)``.
 
@@ -165,7 +169,7 @@ def nearest(
     candidates = scratch.save(candidates.select("t", "key", "vec_id", "v", group.alias("g")), "candidates")
     queries = rows.where(is_query)
     visits = queries.mapInPandas(visit, "query_id long, length int, t int, key long").join(sizes.drop("length"), ["t", "key"])
-    found = scratch.save(_meet(candidates, queries, visits, group, k, scratch), "found")
+    found = scratch.save(_meet(candidates, queries, visits, group, k, scratch, block, queries_at_once), "found")
     best = _top(found, k)
 
     few = queries.select(F.col("vec_id").alias("query_id"), F.size("v").alias("length")).distinct()
@@ -178,7 +182,7 @@ def nearest(
         return best
     # Every row is in a cell of table 0, so visiting all its cells is a full search.
     visits = few.join(sizes.where("t = 0"), "length").select("query_id", "t", "key", "blocks")
-    more = _meet(candidates, queries, visits, group, k, scratch)
+    more = _meet(candidates, queries, visits, group, k, scratch, block, queries_at_once)
     return _top(found.unionByName(more), k)
 
 
@@ -191,11 +195,32 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _meet(candidates: DataFrame, queries: DataFrame, visits: DataFrame, group, k: int, scratch: Scratch) -> DataFrame:
-    """Best ``k`` of each query within each group of buckets, by exact score."""
+def _deal(candidates: DataFrame, queries: DataFrame, visits: DataFrame, group, scratch: Scratch, queries_at_once: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates and asking queries by ``g`` and ``part``.
+
+    A group with more than ``queries_at_once`` queries or ``VISITS`` visits is dealt into
+    parts by query, and its candidates are copied once for each.
+    """
     visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    visits = visits.groupBy("query_id", group.alias("g")).agg(F.collect_set("key").alias("keys"))
-    asked = visits.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
+    visits = scratch.save(visits.groupBy("query_id", group.alias("g")).agg(F.collect_set("key").alias("keys")), "visits")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / queries_at_once, F.sum(F.size("keys")) / VISITS)).cast("int")
+    parts = scratch.save(visits.groupBy("g").agg(parts.alias("parts")), "parts")  # a row per group
+    asked = visits.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+    asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).dropDuplicates(["query_id"]), "query_id")
+    copies = candidates.join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return copies, asked
+
+
+def _meet(candidates: DataFrame, queries: DataFrame, visits: DataFrame, group, k: int, scratch: Scratch, block: int = BLOCK, queries_at_once: int = QUERIES) -> DataFrame:
+    """Best ``k`` of each query within each part of a group of buckets, by exact score."""
+    candidates, asked = _deal(candidates, queries, visits, group, scratch, queries_at_once)
+
+    def best(out):
+        import pandas as pd
+
+        found = pd.DataFrame({c: np.concatenate(v) for c, v in zip(["query_id", "vec_id", "score"], zip(*out))}).drop_duplicates(["query_id", "vec_id"])
+        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return found.groupby("query_id").head(k)
 
     def rank(left, right):
         import pandas as pd
@@ -208,25 +233,27 @@ def _meet(candidates: DataFrame, queries: DataFrame, visits: DataFrame, group, k
             for key in keys:
                 asking.setdefault(key, []).append(i)
         ids, asked_ids = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        out = []
+        out, held = [], 0
         for key, at in left.groupby("key").indices.items():
-            of = asking.get(key)
-            if not of:
-                continue
+            asks = np.array(asking.get(key, []), int)
             x = matrix(left["v"].iloc[at])
-            q = matrix(right["q"].iloc[of])
-            if x.shape[1] != q.shape[1]:
-                continue
-            rough = q @ x.T
-            rough[asked_ids[of][:, None] == ids[at][None, :]] = -np.inf
-            # A little below the k-th rough score, so that rounding and ties are settled exactly.
-            last = np.partition(rough, -k, axis=1)[:, -k] if len(at) > k else np.full(len(of), -np.inf)
-            i, j = np.nonzero((rough >= (last - 1e-9 * np.abs(last).clip(1))[:, None]) & np.isfinite(rough))
-            out.append((asked_ids[of][i], ids[at][j], (q[i] * x[j]).sum(1)))
+            for lo in range(0, len(asks), block):
+                of = asks[lo : lo + block]
+                q = matrix(right["q"].iloc[of])
+                if x.shape[1] != q.shape[1]:
+                    continue
+                rough = q @ x.T
+                rough[asked_ids[of][:, None] == ids[at][None, :]] = -np.inf
+                # A little below the k-th rough score, so that rounding and ties are settled exactly.
+                last = np.partition(rough, -k, axis=1)[:, -k] if len(at) > k else np.full(len(of), -np.inf)
+                i, j = np.nonzero((rough >= (last - 1e-9 * np.abs(last).clip(1))[:, None]) & np.isfinite(rough))
+                out.append((asked_ids[of][i], ids[at][j], (q[i] * x[j]).sum(1)))
+                held += len(i)
+                if held > HELD_ROWS:
+                    some = best(out)
+                    out, held = [tuple(some[c].to_numpy() for c in names)], 0
         if not out:
             return pd.DataFrame({c: [] for c in names})
-        found = pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*out))}).drop_duplicates(["query_id", "vec_id"])
-        found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        return found.groupby("query_id").head(k)
+        return best(out)
 
-    return candidates.groupBy("g").cogroup(asked.groupBy("g")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    return candidates.groupBy("g", "part").cogroup(asked.groupBy("g", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
