@@ -1,5 +1,6 @@
 """Operators as Spark jobs: odd rows, and brute force on small tables."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vertexloom.llm import cap_filters, dart_minhash, language_id, licenses, line_dedup, packing, pstable_ann, quality, queries, token_store, vectors
+from vertexloom.llm import cap_filters, dart_minhash, language_id, licence_templates, licenses, line_dedup, packing, pstable_ann, quality, queries, token_store, vectors
 from vertexloom.operators.scratch import Scratch, scratch_root
 
 FOLDER = "/root/testdata/sf0.001"
@@ -185,6 +186,29 @@ def test_frequent_notices_keep_their_licence(spark, copies):
     assert {k: (r["of"], r["n"]) for k, r in found.items()} == {k: ([v], copies) for k, v in zip([*notices, "mixed"], ["Proprietary", "Proprietary", "MIT", "MIT"])}
 
 
+def test_licences_by_whole_texts_headers_and_ids(spark):
+    text = dict(reversed(licence_templates.texts()))
+    gpl = "\n".join(f" * {x}" for x in textwrap.wrap("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 60))
+    wanted = {
+        "a/LICENSE": ("GNU GPL v3", "GPL-3.0"),
+        "b/COPYING": (text["GPL-3.0"], "GPL-3.0"),
+        "c/LICENSE": ("Copyright (c) 2020 Jane Doe\n\n" + text["MIT"].partition("\n")[2], "MIT"),
+        "d/LICENSE": ("Copyright 2020 Jane Doe\nAll rights reserved.\n\n" + text["BSD-3-Clause"], "BSD-3-Clause"),
+        "e/x.py": ("# SPDX-License-Identifier: MIT\nimport os\n", "MIT"),
+        "f/x.c": ("// SPDX-License-Identifier: Apache-2.0\nint main;\n", "Apache-2.0"),
+        "g/x.c": (f"/* Adder of numbers\n *\n{gpl}\n */\nint main;\n", "GPL-3.0"),
+        "h/LICENSE": (text["AGPL-3.0"], "AGPL-3.0"),
+        "i/LICENSE": ("some words of prose about the sea", None),
+        "j/x.py": ("# SPDX-License-Identifier: Foo-7\n# the driving license of a child\nx = 1", None),
+        "k/LICENSE": (text["Apache-2.0"], "Apache-2.0"),
+        "l/LICENSE": (text["BSD-2-Clause"], "BSD-2-Clause"),
+        "m/LICENSE": (text["LGPL-3.0"], "LGPL-3.0"),
+    }
+    files = spark.createDataFrame([(p, t) for p, (t, _) in wanted.items()], "path string, text string")
+    found = {r["path"]: r["license"] for r in licenses.find_licenses(files, Scratch(spark)).collect()}
+    assert found == {p: licence for p, (_, licence) in wanted.items()}
+
+
 def test_tokens_packed_stored_and_read(spark, odd):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     pieces = packing.pack_documents(odd).collect()

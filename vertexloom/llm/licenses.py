@@ -1,12 +1,15 @@
 """Licences of files: similarity of notices to templates, and inheritance by directory.
 
-A notice is a line that names a licence, and for licence files the whole text as
-well.  Notices and templates are sparse vectors of word counts times inverse
-document frequency over all notices and templates; the template with the largest
-cosine gives the licence if it reaches ``MIN_COSINE``.  These weights depend on the
-files: a notice that gets frequent scores lower.  So notices without a licence are
-compared once more by weights taken from the fixed list ``FIXED`` alone, which
-are the same for any number of files.  A file without a notice of its own takes the licence of the nearest directory above it that has a licence file.
+A notice is a line, paragraph or comment that names a licence, and for licence files
+the whole text as well, whatever it says.  Notices and templates are sparse vectors
+of word counts times inverse document frequency over all notices and templates; the
+template with the largest cosine gives the licence if it reaches ``MIN_COSINE``.
+These weights depend on the files: a notice that gets frequent scores lower.  So
+notices without a licence are compared once more by weights taken from the fixed list
+``FIXED`` alone, which are the same for any number of files; paragraphs, comments and
+whole texts without a word of ``NOTICE`` are compared by these only.  A file without a
+notice of its own takes the licence of the nearest directory above it that has a
+licence file.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.llm import licence_templates
 from vertexloom.operators.scratch import Scratch
 from vertexloom.operators.skew import HOT_ROWS, hottest, lookup_join
 
@@ -50,7 +54,12 @@ TEMPLATES = [
 RESERVED = "Proprietary"  # says no more than that rights are reserved, as other licences do as well
 
 #: Compared by weights of this list alone.
-FIXED = [*TEMPLATES, (RESERVED, "All rights reserved")]
+FIXED = [*TEMPLATES, (RESERVED, "All rights reserved"), *licence_templates.names(), *licence_templates.texts()]
+
+COMMENT = r"^[ \t]*(#|//|/?[*]|--|;|%|<!--)"
+#: Between blocks of lines: after the last or before the first line of comment, and at lines without letters and digits.
+BLOCK_END = r"\x01\n(?!\x01)|(?<!\x01)\n(?=\x01)"
+PARAGRAPH_END = BLOCK_END + r"|\n(?:[^\p{L}\p{N}\n]*\n)+"
 
 
 def _words(text: Column) -> Column:
@@ -122,9 +131,18 @@ def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_CO
     keyed = files.withColumn("__path", F.coalesce("path", F.lit(""))).withColumn("__text", F.xxhash64(text))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOTICE))
     whole = F.when(F.col("__path").rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    found = F.when(text.rlike(NOTICE), F.array_distinct(F.transform(F.concat(lines, whole), lambda x: F.lower(F.trim(x)))))
-    units = keyed.select("__path", "__text", F.explode(found).alias("text"))
-    units = scratch.save(units.withColumn("unit", F.md5("text")), "notices")
+    plain = lambda x: F.lower(F.trim(x))
+    found = F.when(text.rlike(NOTICE), F.array_distinct(F.transform(F.concat(lines, whole), plain)))
+    marked = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(COMMENT), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x)), "\n")
+    blocks = F.filter(F.concat(F.split(marked, PARAGRAPH_END, -1), F.split(marked, BLOCK_END, -1)), lambda x: x.rlike(NOTICE))
+    blocks = F.transform(blocks, lambda x: F.regexp_replace(x, "\x01", ""))
+    more = F.array_distinct(F.transform(F.concat(F.when(text.rlike(NOTICE), blocks).otherwise(F.array().cast("array<string>")), whole), plain))
+    more = F.array_except(more, F.coalesce(found, F.array().cast("array<string>")))
+    known = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("more")))
+    units = keyed.select("__path", "__text", F.explode(F.concat(known, F.transform(more, lambda x: F.struct(x.alias("text"), F.lit(True).alias("more"))))).alias("u"))
+    units = scratch.save(units.select("__path", "__text", "u.*").withColumn("unit", F.md5("text")), "notices")
+    wider = units.where("more")
+    units = units.where("NOT more")
 
     # Repeated rows show the same notice once.
     marks = scratch.save(units.select("__path", "__text", "unit").distinct(), "marks")
@@ -147,12 +165,20 @@ def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_CO
     best = dots.groupBy("unit").agg(F.min(F.struct(-F.col("score"), F.col("license"))).alias("b"))
     best = best.select("unit", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
     best = scratch.save(best, "best")
-    rest = _fixed_scores(distinct.join(best, "unit", "left_anti"), fixed, min_cosine)
-    best = best.withColumn("yields", F.lit(False)).unionByName(rest.withColumn("yields", F.col("license") == RESERVED))
-    hot = hottest(distinct.select("unit", "n"), "unit", hot_rows)
+    rest = distinct.join(best, "unit", "left_anti").select("unit", "text").unionByName(wider.select("unit", "text")).dropDuplicates(["unit"])
+    rest = _fixed_scores(rest, fixed, min_cosine).join(best, "unit", "left_anti")
+    best = best.withColumn("fixed", F.lit(False)).unionByName(rest.withColumn("fixed", F.lit(True)))
+    marks = scratch.save(marks.unionByName(wider.select("__path", "__text", "unit").distinct()), "all-marks")
+    hot = hottest(marks.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit", hot_rows)
     own = lookup_join(marks, "unit", best, "unit", hot, "__path").groupBy("__path", "__text")
-    own = own.agg(F.min(F.struct("yields", (-F.col("score")).alias("less"), "license")).alias("b"))
-    own = scratch.save(own.select("__path", "__text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "own")
+    less = (-F.col("score")).alias("less")
+    own = own.agg(
+        F.min(F.when(~F.col("fixed"), F.struct(less, "license"))).alias("a"),
+        F.min(F.when(F.col("fixed"), F.struct((F.col("license") == RESERVED).alias("yields"), less, "license"))).alias("f"),
+    )
+    by_fixed = F.col("f").isNotNull() & (F.col("a").isNull() | (~F.col("f.yields") & ((F.col("a.license") == RESERVED) | (F.col("f.less") < F.col("a.less")))))
+    own = own.select("__path", "__text", F.when(by_fixed, F.struct("f.less", "f.license")).otherwise(F.col("a")).alias("b"))
+    own = scratch.save(own.where("b IS NOT NULL").select("__path", "__text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "own")
 
     of_files = own.where(F.col("__path").rlike(LICENCE_FILE)).withColumn("above", _directory(F.col("__path")))
     of_files = of_files.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"), F.col("__path"))).alias("b"))
