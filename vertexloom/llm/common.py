@@ -31,6 +31,12 @@ def sampled(key: Column, n_rows: int, wanted: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
 
 
+def fair_share(df: DataFrame, n_rows: int, least: int = 1_000) -> int:
+    """Rows of one key above which it is hot: more than a partition's share of all rows."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-n_rows // partitions))
+
+
 def mix64(x):
     """Scramble an array of uint64 hashes (a bijection of 64-bit numbers)."""
     import numpy as np

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vertexloom.llm import url_filter as U
 from vertexloom.llm.licenses import LICENCE_FILE, MIN_COSINE, NOTICE, TEMPLATES, WORD
 
 
@@ -67,4 +68,87 @@ FROM files f LEFT JOIN own o ON f.path = o.path AND f.text = o.text
 LEFT JOIN inherited i ON regexp_replace(f.path, '/[^/]*$', '') = i.directory
 """
 
-ALL = {"op4_licenses": LICENSES}
+HARD_NEGATIVES = """
+WITH own AS (
+  SELECT vec_id, min(struct_pack(l := CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END, v := embedding::DOUBLE[])) AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  GROUP BY vec_id),
+rows AS (SELECT vec_id, r.l AS label, list_transform(r.v, lambda x: floor(256.0 * x)) AS v FROM own),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT alike
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def _lower(column: str) -> str:
+    return f"translate({column}, '{U.UPPER}', '{U.LOWER}')"
+
+
+def _part(url: str, part: int) -> str:
+    return f"coalesce(regexp_extract({url}, {_text(U.URL)}, {part}), '')"
+
+
+def _identity(url: str, query: str) -> str:
+    """SQL of a url's identity with another query."""
+    return f"{_lower(_part(url, 1))} || '://' || {_lower(_part(url, 2))} || {_part(url, 3)} || {query}"
+
+
+_QUERY = f"regexp_replace({_part('node', 4)}, {_text(U.TRACKING)}, '', 'g')"
+
+URL_FILTER = f"""
+WITH RECURSIVE rules(host, path, allow) AS (
+  VALUES ('com', '/', true), ('example.com', '/en/', false), ('www.example.com', '/en/', true),
+    ('net', '/es/', false), ('net', '/fr/', false)),
+own AS (
+  SELECT page_id, url, {_lower(_part('url', 2))} AS host, {_part('url', 3)} AS path,
+    CASE WHEN contains(url, '://') THEN {_identity('url', _part('url', 4))} END AS node,
+    {_part('url', 1)} AS scheme, {_part('url', 1)} || '://' || {_part('url', 2)} AS site,
+    regexp_extract_all(coalesce(html, ''), {_text(U.TAGS)}) AS tags
+  FROM pages),
+hrefs AS (
+  SELECT node, path, scheme, site, replace(href, '&amp;', '&') AS href FROM (
+    SELECT * EXCLUDE tags, unnest(list_concat(
+      list_transform(list_filter(tags, lambda t: regexp_matches(t, {_text(U.CANONICAL)})), lambda t: regexp_extract(t, {_text(U.HREF)}, 1)),
+      list_transform(list_filter(tags, lambda t: regexp_matches(t, {_text(U.REFRESH)})), lambda t: regexp_extract(t, {_text(U.TARGET)}, 1)))) AS href
+    FROM own)),
+targets AS (
+  SELECT node, CASE WHEN href = '' OR starts_with(href, '#') THEN NULL
+    WHEN regexp_matches(href, {_text(U.ABSOLUTE)}) THEN href
+    WHEN regexp_matches(href, {_text(U.OTHER_SCHEME)}) THEN NULL
+    WHEN starts_with(href, '//') THEN scheme || ':' || href
+    WHEN starts_with(href, '/') THEN site || href
+    ELSE site || CASE WHEN contains(path, '/') THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || href END AS target
+  FROM hrefs),
+edges AS (
+  SELECT node AS src, {_identity('target', _part('target', 4))} AS dst FROM targets WHERE contains(target, '://')
+  UNION SELECT node, {_identity('node', f"CASE WHEN starts_with({_QUERY}, '&') THEN '?' || substr({_QUERY}, 2) ELSE {_QUERY} END")}
+  FROM own WHERE contains(node, 'utm_')),
+ways AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+reach(node, other) AS (
+  SELECT src, src FROM ways UNION SELECT node, dst FROM reach JOIN ways ON other = src),
+ruled AS (
+  SELECT key, r.host || r.path AS rule, allow FROM (
+    SELECT DISTINCT host || path AS key, host, path FROM own
+    UNION SELECT {_lower(_part('other', 2))} || {_part('other', 3)}, {_lower(_part('other', 2))}, {_part('other', 3)} FROM reach) u
+  JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(rule) DESC, allow DESC, rule DESC) = 1),
+blocked AS (
+  SELECT DISTINCT node FROM reach JOIN ruled ON {_lower(_part('other', 2))} || {_part('other', 3)} = key AND NOT allow)
+SELECT page_id, host, path, rule,
+  CASE WHEN coalesce(allow, b.node IS NULL) THEN 'allow' ELSE 'block' END AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN b.node IS NOT NULL THEN 'alias' ELSE 'default' END AS reason
+FROM own LEFT JOIN ruled ON host || path = key LEFT JOIN blocked b USING (node)
+"""
+
+ALL = {"op4_licenses": LICENSES, "op11_hard_negatives": HARD_NEGATIVES, "op12_url_filter": URL_FILTER}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vertexloom.llm import byte_bpe, cap_filters, dart_minhash, language_id, licenses, line_dedup, packing, pstable_ann, quality, token_store, vectors
+from vertexloom.llm import alignment, byte_bpe, cap_filters, dart_minhash, hard_negatives, language_id, licenses, line_dedup, packing, pstable_ann, quality, token_store, url_filter, vectors
 from vertexloom.llm.common import held_out, table
 from vertexloom.operators.scratch import Scratch, scratch_root
 
@@ -92,6 +92,33 @@ def embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = own.select("vec_id", label.alias("label"), F.col("embedding").alias("v"))
+    return hard_negatives.hard_negatives(rows, Scratch(spark), F.col("vec_id") % 100 == 0)
+
+
+#: Rules of the registered query: host, beginning of the path, allow.
+URL_RULES = [
+    ("com", "/", True),
+    ("example.com", "/en/", False),
+    ("www.example.com", "/en/", True),
+    ("net", "/es/", False),
+    ("net", "/fr/", False),
+]
+
+
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge_urls(pages, URL_RULES, Scratch(spark)).drop("url")
+
+
+def alignment_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(docs, Scratch(spark))
+
+
 ALL = {
     "op1_language_id": language,
     "op2_quality": quality_scores,
@@ -103,5 +130,8 @@ ALL = {
     "op8_multiprobe_ann": nearest_vectors,
     "op9_token_files": token_files,
     "op10_cap_filters": embedding_duplicates,
+    "op11_hard_negatives": negatives,
+    "op12_url_filter": url_verdicts,
+    "op13_alignment": alignment_digests,
     "pipeline": corpus_pipeline.run,
 }

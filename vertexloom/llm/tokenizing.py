@@ -1,30 +1,37 @@
-"""Encoding with a public byte-level BPE file, memoised by word.
+"""Encoding with a public byte-level BPE file, remembered by word.
 
 Text between two blanks is encoded independently of its surroundings: the
 tokenizer's pattern never matches across the start of a blank that follows
 something other than white space.  A worker therefore keeps the ids of the words
-it has seen and runs the library on new words only.  Texts with the strings of
-special tokens go to the library whole.
+it has seen and runs the library on the new words of a batch of texts, all in one
+call.  Texts with the strings of special tokens go to the library whole.
+
+What is kept is bounded by its size in memory, and long stretches without blanks
+are never kept.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 from vertexloom.llm.common import tokenizer_file
 
-MAX_WORDS = 1_000_000  # stretches between blanks remembered by one worker, then it starts afresh
-MAX_PIECES = 300_000  # and matches of the pattern
+MEMORY = 128 << 20  # bytes one memory of words may take, about; then it starts afresh
+LONGEST = 64  # characters of the longest stretch that is remembered
+ENTRY = 170  # bytes an entry takes besides its content, about
+BATCH_CHARS = 1 << 20  # texts handled at once have so many characters, or are one text
 
 #: The public pattern in the syntax of ``re``; the two agree on the characters of PLAIN.
 PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 )
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*")
-BLANK_AFTER_SPACE = re.compile(r"\s ")
+BLANK_AFTER_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 WORD_STARTS = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
@@ -35,72 +42,173 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
-_FOUR = int.to_bytes
+def blanks_alone(text: str) -> bool:
+    """Whether every blank of the text follows something other than white space."""
+    return not any(pair in text for pair in BLANK_AFTER_SPACE)
 
 
-class _Remembered(dict):
-    """Ids of words as bytes of little-endian uint32; fills itself."""
+def text_batches(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts, null ones empty, in lists of about BATCH_CHARS characters."""
+    batch, size = [], 0
+    for text in texts:
+        text = text if isinstance(text, str) else ""
+        batch.append(text)
+        size += len(text) + 1
+        if size >= BATCH_CHARS:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
 
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encode(self.prefix + word)
-        return ids
+class _Known(dict):
+    """Values by word; a word asked for in vain is noted and stands for itself."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> str:
+        self.new.append(word)
+        self[word] = word
+        return word
+
+
+class Memory:
+    """What ``make`` returns for words, made for all new words of a batch at once.
+
+    ``of(lists)`` has the values of words in place of the words.  Long words are
+    forgotten again after the call.  ``weigh`` is the size of a value in bytes.
+    Values must not be strings.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], weigh=len, limit: int = MEMORY):
+        self.make, self.weigh, self.limit = make, weigh, limit
+        self.known = _Known()
+        self.size = 0
+
+    def of(self, lists: list[list[str]]) -> list[list]:
+        known = self.known
+        if self.size > self.limit:
+            known.clear()
+            self.size = 0
+        look_up = known.__getitem__
+        found = [list(map(look_up, words)) for words in lists]
+        new = known.new
+        if not new:
+            return found
+        known.new = []
+        values = self.make(new)
+        known.update(zip(new, values))
+        found = [[look_up(x) if x.__class__ is str else x for x in row] for row in found]
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(self.weigh, values))
+        for word, value in zip(new, values):
+            if len(word) > LONGEST:
+                del known[word]
+                self.size -= ENTRY + len(word) + self.weigh(value)
+        return found
 
 
 class Encoder:
-    """``ids(text)`` equals the library's ``encode(text, add_special_tokens=False)``."""
+    """``batch(texts)`` equals the library's ``encode(text, add_special_tokens=False)``.
+
+    With ``plain_specials`` the strings of special tokens are ordinary text.
+    """
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, plain_specials: bool = False, limit: int = MEMORY):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.letters = byte_letters()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.max_words = max_words
-        self.after_blank = _Remembered(self._word, " ")
-        self.other = _Remembered(self._word, "")
-        self.pieces = _Remembered(self._piece, "")
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        found = self.tokens.get(mapped)
-        ids = (found,) if found is not None else [t.id for t in self.model.tokenize(mapped)]
-        return b"".join([_FOUR(i, 4, "little") for i in ids])
-
-    def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
-            return self._whole(word)
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word)))
+        self.special = re.compile("|".join(map(re.escape, special))) if special and not plain_specials else None
+        # The library's model on pieces that are cut already, divided by a letter no piece has.
+        self.divider = self.letters[0]
+        self.model = self.tokenizer.model
+        self.pieces_only = Tokenizer(self.model)
+        self.pieces_only.pre_tokenizer = CharDelimiterSplit(self.divider)
+        self.tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_length = np.zeros(max(self.tokens.values(), default=0) + 1, np.int64)
+        for token, i in self.tokens.items():
+            self.token_length[i] = len(token)
+        self.after_blank = Memory(lambda words: self.chunks([" " + w for w in words]), limit=limit)
+        self.other = Memory(self.chunks, limit=limit)
+        self.pieces = Memory(self._pieces, limit=limit)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of matches of the pattern: the model's on all of them, cut by length."""
+        if not pieces:
+            return []
+        mapped = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        ids = np.array(self.pieces_only.encode_batch_fast([self.divider.join(mapped)])[0].ids, "<u4")
+        stops = np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum([len(m) for m in mapped])) + 1
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        flat, counts, rest = [], [], []
+        for chunk in chunks:
+            # One match of the pattern, in most cases.
+            if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                flat.append(chunk)
+                counts.append(1)
+            elif PLAIN.fullmatch(chunk):
+                parts = PIECES.findall(chunk)
+                flat += parts
+                counts.append(len(parts))
+            else:
+                rest.append(chunk)
+                counts.append(-1)
+        found, at = self.pieces.of([flat])[0], 0
+        whole, out = iter(self._whole(rest)), []
+        for n in counts:
+            if n == 1:
+                out.append(found[at])
+                at += 1
+            elif n < 0:
+                out.append(next(whole))
+            else:
+                out.append(b"".join(found[at : at + n]))
+                at += n
+        return out
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as little-endian uint32."""
+        special, heads, rests = [], [], []
+        for text in texts:
+            if self.special is not None and self.special.search(text):
+                special.append(text)
+                heads.append(None)
+            elif blanks_alone(text):
+                parts = text.split(" ")
+                heads.append(parts[:1])
+                rests.append(parts[1:])
+            else:
+                heads.append(WORD_STARTS.split(text))
+                rests.append([])
+        first = iter(self.other.of([h for h in heads if h is not None]))
+        rest = iter(self.after_blank.of(rests))
+        whole = iter(self._whole(special))
+        raw = [next(whole) if h is None else b"".join([*next(first), *next(rest)]) for h in heads]
+        return [np.frombuffer(r, "<u4") for r in raw]
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if self.special is not None and self.special.search(text):
-            return np.frombuffer(self._whole(text), "<u4")
-        for words in (self.after_blank, self.other):
-            if len(words) > self.max_words:
-                words.clear()
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        if BLANK_AFTER_SPACE.search(text):
-            parts = WORD_STARTS.split(text)
-            return np.frombuffer(b"".join(map(self.other.__getitem__, parts)), "<u4")
-        first, *rest = text.split(" ")
-        found = self.other[first] + b"".join(map(self.after_blank.__getitem__, rest))
-        return np.frombuffer(found, "<u4")
+        return self.batch([text or ""])[0]
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of texts one by one, encoded in batches of bounded size."""
+        for batch in text_batches(texts):
+            yield from self.batch(batch)
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, plain_specials: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file, kept between tasks."""
-    return Encoder(tokenizer_file(name))
+    return Encoder(tokenizer_file(name), plain_specials)
