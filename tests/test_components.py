@@ -5,7 +5,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tests.graphs import as_dict, make_graph, strong_components, weak_components
+import vertexloom.operators.strong_components as strong_module
 from vertexloom import EmptyGraphError
+from vertexloom.operators.strong_components import strongly_connected_components
 from vertexloom.sources.sample import sample_graph
 
 # None of the rows per key is hot / every key with more than 2 rows is.
@@ -112,3 +114,33 @@ def test_no_vertices(spark):
     for operator in ("connected_components", "strongly_connected_components", "pagerank"):
         with pytest.raises(EmptyGraphError):
             getattr(graph, operator)()
+
+
+@pytest.mark.parametrize("few, hot_rows", [(1_000_000, 4), (5, 1_000_000), (0, 4)])
+def test_strong_components_by_frontier(spark, few, hot_rows):
+    """Rounds of few changed labels, of many, and of both; a ring takes many rounds."""
+    rng = random.Random(17)
+    ring = [f"r{i:03d}" for i in range(30)]
+    pairs = list(zip(ring, ring[1:] + ring[:1]))
+    ids = [f"v{i:02d}" for i in range(40)]
+    pairs += [(rng.choice(ids), rng.choice(ids)) for _ in range(70)] + [(ids[0], ring[0])]
+    graph = make_graph(spark, ids + ring, pairs, hot_rows=hot_rows)
+    found = strongly_connected_components(graph._indexed(), graph._scratch, hot_rows, few)
+    assert as_dict(found) == strong_components(ids + ring, pairs)
+    graph.release()
+
+
+def test_late_rounds_of_strong_components_read_few_links(spark, monkeypatch):
+    read, meet = [], strong_module.meet_few
+
+    def counted(rows, key, few, n_few, how="inner"):
+        read.append(n_few)
+        return meet(rows, key, few, n_few, how)
+
+    monkeypatch.setattr(strong_module, "meet_few", counted)
+    ring = [f"r{i:03d}" for i in range(50)]
+    pairs = list(zip(ring, ring[1:] + ring[:1]))
+    graph = make_graph(spark, ring, pairs)
+    assert set(as_dict(graph.strongly_connected_components()).values()) == {"r000"}
+    assert read[0] == 50 and min(read) < 25 and read[-1] < read[0]
+    graph.release()

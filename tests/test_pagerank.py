@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from vertexloom.operators.pagerank import NotStableError
+import vertexloom.operators.pagerank as pagerank_module
+from vertexloom.operators import frontier
+from vertexloom.operators.pagerank import NotStableError, pagerank
 
 from tests.graphs import as_dict, make_graph, page_ranks
 from vertexloom.sources.sample import sample_graph
@@ -82,3 +84,68 @@ def test_tolerance_within_a_bound_of_rounds(spark):
         sample_graph(spark).pagerank(max_iter=2, tol=0.001)
     bounded = sample_graph(spark).pagerank(max_iter=50, tol=0.001).collect()
     assert sorted(bounded) == sorted(sample_graph(spark).pagerank(tol=0.001).collect())
+
+
+@pytest.mark.parametrize("few, hot_rows", [(1_000_000, 1_000_000), (12, 3), (0, 3)])
+def test_push_solves_the_equation(spark, few, hot_rows):
+    """With rounds of few senders, of many, and of both."""
+    ids, pairs = hub_graph()
+    graph = make_graph(spark, ids, pairs, hot_rows=hot_rows)
+    found = pagerank(graph._indexed(), graph._scratch, hot_rows, 0.9, None, 1e-11, True, few)
+    close(as_dict(found), page_ranks(ids, pairs, reset=0.9, rounds=40))
+    graph.release()
+
+
+def test_push_stops_at_the_tolerance(spark):
+    ids, pairs = hub_graph()
+    found = as_dict(make_graph(spark, ids, pairs).pagerank(reset=0.5, tol=0.01, push=True))
+    exact = page_ranks(ids, pairs, reset=0.5, rounds=50)
+    assert all(found[i] == pytest.approx(exact[i], abs=0.05) for i in ids)
+    with pytest.raises(NotStableError):
+        make_graph(spark, ids, pairs).pagerank(tol=1e-9, max_iter=2, push=True)
+    with pytest.raises(ValueError):
+        make_graph(spark, ids, pairs).pagerank(push=True)
+    assert as_dict(make_graph(spark, ["a", "b"], []).pagerank(tol=0.1, push=True)) == {"a": 1.0, "b": 1.0}
+
+
+def test_late_rounds_read_the_edges_of_the_frontier(spark, monkeypatch):
+    """A thousand vertices settle at once, a pair that links to each other does not."""
+    spark.conf.set("spark.sql.inMemoryColumnarStorage.batchSize", "20")
+    ids = [f"s{i:04d}" for i in range(400)] + [f"t{i:04d}" for i in range(400)]
+    pairs = list(zip(ids[:400], ids[400:])) + [("a", "b"), ("b", "a")]
+    read, meet = [], frontier.meet_few
+
+    def counted(rows, key, few, n_few, how="inner"):
+        found = meet(rows, key, few, n_few, how)
+        if key == "s":
+            found.collect()
+            read.append((n_few, scanned(found)))
+        return found
+
+    monkeypatch.setattr(pagerank_module, "meet_few", counted)
+    try:
+        graph = make_graph(spark, [*ids, "a", "b"], pairs)
+        ranks = as_dict(graph.pagerank(reset=0.4, tol=0.01, push=True))
+        graph.release()
+    finally:
+        spark.conf.unset("spark.sql.inMemoryColumnarStorage.batchSize")
+    assert ranks["a"] == pytest.approx(ranks["b"]) and ranks["a"] > ranks["t0000"] > ranks["s0000"]
+    assert read[0][0] == 402 and read[0][1] >= 402  # the round that fills the cache counts it twice
+    assert len(read) > 5 and all(n == 2 and rows <= 80 for n, rows in read[2:])
+
+
+def scanned(df):
+    """Rows that the cached table of a finished query gave out."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "InMemoryTableScan":
+            total += node.metrics().apply("numOutputRows").value()
+        elif name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total

@@ -4,8 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.graphs import as_dict, make_graph
-from vertexloom import VERTEX_SCHEMA
+from vertexloom import VERTEX_SCHEMA, PropertyGraph
 from vertexloom.functions import properties as P
+from vertexloom.functions import variants
 from vertexloom.functions.types import parse_tagged, parse_timestamp, tag_of_type, type_of_tag
 from vertexloom.operators import filters, reports, writeback
 from vertexloom.sources.sample import sample_graph
@@ -215,3 +216,86 @@ def test_dropped_keys_never_come_back(spark, lists, keys):
     assert found == {
         i: [p for p in props if p[0] not in keys] for i, props in data.items()
     }
+
+
+TAGGED = [
+    ("s", "java.lang.String", "12"), ("i", "java.lang.Integer", "12"), ("l", "java.lang.Long", "9000000000"),
+    ("d", "java.lang.Double", "1.5"), ("f", "java.lang.Float", "0.5"), ("b", "java.lang.Boolean", "true"),
+    ("y", "java.lang.Byte", "7"), ("h", "java.lang.Short", "300"), ("day", "java.sql.Date", "2020-02-29"),
+    ("t", "java.sql.Timestamp", "2020-02-29 01:02:03"), ("bad", "java.lang.Long", "x"), ("none", "java.lang.Long", None),
+    ("odd", "some.Tag", "z"), ("tagless", None, "w"),
+]
+
+
+def test_variants_carry_the_type_of_the_tag(spark):
+    rows = spark.createDataFrame(
+        [("v", TAGGED), ("w", None), ("x", [])],
+        "id string, properties array<struct<key: string, type: string, value: string>>",
+    )
+    found = variants.variant_properties(rows)
+    kinds = {r.key: r.kind for r in found.select("key", variants.variant_kind(F.col("variant")).alias("kind")).collect()}
+    assert kinds == {
+        "s": "STRING", "i": "BIGINT", "l": "BIGINT", "d": "DOUBLE", "f": "FLOAT", "b": "BOOLEAN", "y": "BIGINT",
+        "h": "BIGINT", "day": "DATE", "t": "TIMESTAMP", "bad": None, "none": None, "odd": "STRING", "tagless": "STRING",
+    }
+    numbers = found.select("key", variants.variant_as(F.col("variant"), "double").alias("n")).where("n IS NOT NULL")
+    assert {r.key: r.n for r in numbers.collect() if r.key != "t"} == {
+        "s": 12.0, "i": 12.0, "l": 9e9, "d": 1.5, "f": 0.5, "b": 1.0, "y": 7.0, "h": 300.0,
+    }
+
+
+def test_json_variants(spark):
+    texts = ["1", "1.5", "true", '"a"', "null", '{"k": [1, "x"]}', "no json", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    value = variants.json_variant(F.col("t"))
+    found = rows.select("i", variants.variant_kind(value).alias("kind"), variants.variant_as(value, "string", "$.k[1]").alias("x"))
+    assert [(r.kind, r.x) for r in found.orderBy("i").collect()] == [
+        ("BIGINT", None), ("DECIMAL(2,1)", None), ("BOOLEAN", None), ("STRING", None), ("VOID", None),
+        ("OBJECT<k: ARRAY<VARIANT>>", "x"), (None, None), (None, None), (None, None),
+    ]
+
+
+def test_map_form_and_back(spark):
+    first = [("a", "t", "1"), ("b", "t", None), ("a", "u", "2"), (None, "t", "3"), ("c", None, "4")]
+    rows = spark.createDataFrame(
+        [(1, first), (2, []), (3, None)],
+        "id int, properties array<struct<key: string, type: string, value: string>>",
+    )
+    maps = filters.map_form(rows)
+    assert maps.schema["properties"].dataType.simpleString() == "map<string,struct<type:string,value:string>>"
+    found = {r.id: {k: tuple(v) for k, v in r.properties.items()} for r in maps.collect()}
+    assert found == {1: {"a": ("t", "1"), "b": ("t", None), "c": (None, "4")}, 2: {}, 3: {}}
+    back = {r.id: [tuple(p) for p in r.properties] for r in filters.list_form(maps).collect()}
+    assert back == {1: [("a", "t", "1"), ("b", "t", None), ("c", None, "4")], 2: [], 3: []}
+    assert filters.list_form(maps).schema == filters.list_form(filters.map_form(filters.list_form(maps))).schema
+
+
+def test_wide_table(spark):
+    rows = spark.createDataFrame(
+        [
+            ("v", [("age", "java.lang.Integer", "3"), ("lang", "java.lang.String", "java")]),
+            ("w", [("age", "java.lang.Integer", "x"), ("age", "java.lang.Integer", "4")]),
+            ("x", None),
+        ],
+        "id string, properties array<struct<key: string, type: string, value: string>>",
+    )
+    wide = filters.wide_table(rows)
+    assert wide.dtypes == [("id", "string"), ("age", "int"), ("lang", "string")]
+    assert sorted(map(tuple, wide.collect())) == [("v", 3, "java"), ("w", None, None), ("x", None, None)]
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(filters.TooManyKeysError):
+        filters.wide_table(rows, max_columns=1)
+    for clash in ("ID", "AGE"):
+        with pytest.raises(ValueError):
+            filters.wide_table(rows.unionByName(rows.select(F.lit("y").alias("id"), F.array(P.make_property(clash, "t", F.lit("1"))).alias("properties"))))
+    assert filters.wide_table(rows.where("false")).columns == ["id"]
+
+
+def test_summary_reads_the_edges_once(spark, tmp_path):
+    graph = sample_graph(spark)
+    graph.edges.write.parquet(str(tmp_path / "edges"))
+    stored = PropertyGraph(graph.vertices, spark.read.parquet(str(tmp_path / "edges")))
+    summary = stored.summary()
+    assert sorted(summary.collect()) == sorted(graph.summary().collect())
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert ("edge_count", "no such label", 0) in [tuple(r) for r in stored.summary("no such label").collect()]

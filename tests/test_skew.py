@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.graphs import make_graph
 from vertexloom.operators import skew
-from vertexloom.operators.pagerank import _weighted_edges
+from vertexloom.operators.pagerank import _round, _weighted_edges
 from vertexloom.operators.skew import SLICE, find_hot, lookup_join, slice_rows
 
 
@@ -79,15 +79,67 @@ def test_rounds_do_not_move_the_edges(spark, monkeypatch, hot_rows, rows_per_par
     graph = make_graph(
         spark, list("abcd"), [("a", x) for x in "abcd"] * 2, hot_rows=hot_rows
     )
-    edges = _weighted_edges(graph._indexed(), graph._scratch, hot_rows)
-    assert (edges.hot is not None) == (hot_rows == 3)
-    assert edges.partitions == max(2, min(4, math.ceil(4 / rows_per_partition)))
-    edges.rows.count()
-    states = spark.createDataFrame([(0, 1.0)], "s bigint, rank double")
-    joined = edges.join(states, "left")
-    joined.collect()
+    index = graph._indexed()
+    with skew.shuffle_partitions(spark, index.partitions):
+        edges = _weighted_edges(index, graph._scratch, hot_rows, index.partitions)
+        assert (edges.hot is not None) == (hot_rows == 3)
+        assert edges.partitions == max(2, min(4, math.ceil(4 / rows_per_partition)))
+        edges.rows.count()
+        states = spark.createDataFrame([(0, 1.0)], "s bigint, rank double")
+        joined = edges.join(states, "left")
+        joined.collect()
     plan = joined._jdf.queryExecution().executedPlan().toString()
     edges.release()
     left = plan.split("InMemoryRelation")[0]
     assert "SortMergeJoin" in left
     assert "Exchange" not in left and "Sort [" not in left
+    graph.release()
+
+
+@pytest.fixture
+def without_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("rows_per_partition", [3, 10_000_000])
+def test_one_shuffle_of_states_a_round_and_none_of_edges(spark, monkeypatch, without_broadcast, rows_per_partition):
+    """Also where the edges have more or fewer partitions than the session's setting."""
+    monkeypatch.setattr(skew, "ROWS_PER_PARTITION", rows_per_partition)
+    ids = [f"n{i}" for i in range(12)]
+    graph = make_graph(spark, ids, [(ids[i], ids[(i * k + 1) % 12]) for i in range(12) for k in (1, 5, 7)])
+    index = graph._indexed()
+    assert index.partitions != 4
+    with skew.shuffle_partitions(spark, index.partitions):
+        edges = _weighted_edges(index, graph._scratch, 1_000_000, index.partitions)
+        edges.rows.count()
+        built = edges.rows._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in built and "Exchange" not in built
+        state = _round(edges, _round(edges, _round(edges, None, 0.15), 0.15), 0.15)
+        state.collect()
+        plan = state._jdf.queryExecution().executedPlan().executedPlan().toString()
+    rounds = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(rounds) == 3 and all(f", {index.partitions})" in line or f", {index.partitions}," in line for line in rounds)
+    edges.release()
+    graph.release()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_released_graphs_leave_no_tables(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    graph = make_graph(spark, list("abc"), [("a", "b"), ("b", "c")])
+    graph.pagerank().collect()
+    assert {t.name for t in spark.catalog.listTables()} > before
+    graph.release()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_hot_ends_are_found_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", x) for x in "bcde"] + [("c", "e"), ("d", "e")], "src string, dst string")
+    hot = skew.find_hot_of(rows, ["src", "dst"], 6, 2)
+    assert [tuple(r) for r in hot["src"].collect()] == [("a", 2)]
+    assert [tuple(r) for r in hot["dst"].collect()] == [("e", 2)]
+    assert skew.find_hot_of(rows, ["src", "dst"], 6, 6) == {"src": None, "dst": None}

@@ -94,83 +94,83 @@ def test_invalid_merges_leave_the_store_alone(spark, store):
     assert store.read("modern", "v").where("size(properties) = 0").isEmpty()
 
 
-def test_nothing_to_merge(spark, store):
-    version = store._latest("modern", "v")
-    store.merge(spark.createDataFrame([], VERTEX_SCHEMA), "modern", "v")
-    assert store._latest("modern", "v") == version
+def files_by_bucket(root, datasource="test", kind="v"):
+    folder = root / "store" / kind / datasource
+    return {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in folder.glob("bucket=*")}
 
 
-def test_expired_snapshots_are_deleted(spark, store, tmp_path):
-    for _ in range(3):
-        store.merge(sample_graph(spark).vertices, "modern", "v")
-    folder = tmp_path / "store" / "v" / "modern"
-    assert len(list(folder.iterdir())) == 4
-    assert store.expire("modern", "v", keep=2) == 2
-    assert store.expire("modern", "v", keep=2) == 0
-    assert len(list(folder.iterdir())) == 2
-    assert store.read("modern", "v").count() == 6
-    assert store.expire("test", "v") == 0
-    with pytest.raises(ValueError):
-        store.expire("modern", "v", keep=0)
+def test_nothing_to_merge(spark, store, tmp_path):
+    before = files_by_bucket(tmp_path, "modern")
+    assert store.merge(spark.createDataFrame([], VERTEX_SCHEMA), "modern", "v") == 0
+    assert files_by_bucket(tmp_path, "modern") == before
+    assert store.merge(spark.createDataFrame([], VERTEX_SCHEMA), "empty", "v") == 0
+    with pytest.raises(MissingDatasetError):
+        store.read("empty", "v")
 
 
-def test_merge_writes_only_its_own_rows(spark, tmp_path):
-    """Deltas over an untouched base; later ones win, and too many are joined into one."""
-    store = GraphStore(spark, str(tmp_path / "store"), delta_share=1e9, max_deltas=2)
+def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "store"), buckets=8)
     ids = [f"n{i}" for i in range(50)]
-    store.merge(make_graph(spark, ids, []).vertices, "test", "v")
-    base = store._latest("test", "v")[1]
+    assert store.merge(make_graph(spark, ids, []).vertices, "test", "v") == 50
     expected = dict.fromkeys(ids, "node")
-    names = VERTEX_SCHEMA.names
     for turn in range(4):
+        before = files_by_bucket(tmp_path)
         changed = {f"n{turn}": f"a{turn}", "n9": f"b{turn}", f"new{turn}": "c"}
         rows = [("2020-01-01 00:00:00", "test", i, label, []) for i, label in changed.items()]
         new = spark.createDataFrame(rows, VERTEX_SCHEMA)
+        buckets = new.select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("b")).collect()
+        touched = {f"bucket={r.b}" for r in buckets}
         # Every second merge lacks a column, which keeps its stored value.
         store.merge(new.drop("timestamp") if turn % 2 else new, "test", "v")
-        layers = store._latest("test", "v")[1]
-        assert layers[:1] == base and 2 <= len(layers) <= 3
+        after = files_by_bucket(tmp_path)
+        assert len(after) == 8 and {b for b in after if after[b] != before.get(b)} == touched
         expected.update(changed)
     found = store.read("test", "v")
-    assert found.columns == names
+    assert found.columns == VERTEX_SCHEMA.names
     rows = {r.id: r for r in found.collect()}
-    assert len(rows) == found.count() == len(expected)
-    assert {i: rows[i].label for i in ids if expected[i] != "node"} == {i: expected[i] for i in ids if expected[i] != "node"}
+    assert {i: r.label for i, r in rows.items()} == expected and found.count() == len(expected)
     assert rows["n9"].timestamp is not None and rows["new3"].timestamp is None
     assert store.read("test", "v", ["b3", "c"]).count() == len(expected) - 5
-    assert store.expire("test", "v") == 4
-    assert store.read("test", "v").count() == len(expected)
-    folder = tmp_path / "store" / "v" / "test"
-    assert len(list(folder.iterdir())) == len(store._latest("test", "v")[1])
 
 
-def test_large_deltas_rewrite_the_base(spark, tmp_path):
-    store = GraphStore(spark, str(tmp_path / "store"))
-    graph = make_graph(spark, ["a", "b"], [("a", "b")])
-    for _ in range(2):
-        store.merge(graph.vertices, "test", "v")
-        assert len(store._latest("test", "v")[1]) == 1
-    assert store.read("test", "v").count() == 2
+def test_a_failed_writer_changes_nothing_and_blocks_nobody(spark, store, tmp_path):
+    """A job that dies while it writes; the next writer goes on as if it had not been."""
+    before = files_by_bucket(tmp_path, "modern")
+    dies = F.when(F.col("id") == "modern_3", F.raise_error(F.lit("executor lost"))).otherwise(F.col("label"))
+    with pytest.raises(Exception, match="executor lost"):
+        store.replace(store.read("modern", "v").withColumn("label", dies), "modern", "v")
+    assert files_by_bucket(tmp_path, "modern") == before
+    (tmp_path / "store" / "v" / "modern" / ".spark-staging-left-behind").mkdir()
+    for _ in range(3):
+        assert store.merge(sample_graph(spark).vertices.where("id = 'modern_1'"), "modern", "v") == 1
+    assert store.read("modern", "v").count() == 6
 
 
-def test_of_two_writers_one_fails(spark, store, monkeypatch):
-    """The second writer comes between the first one's read and its publishing."""
-    publish, inner = store._publish, []
+def test_a_guarded_write_is_one_query(spark, store):
+    """Counts and checks are observed by the writes: staging and merging, or replacing."""
 
-    def interrupted(*args):
-        if not inner:
-            inner.append(True)
-            store.merge(sample_graph(spark).vertices.where("id = 'modern_1'"), "modern", "v")
-        publish(*args)
+    def queries(run):
+        count = spark._jsparkSession.sharedState().statusStore().executionsCount
+        before = count()
+        run()
+        return count() - before
 
-    before = store.version("modern", "v")
-    monkeypatch.setattr(store, "_publish", interrupted)
-    with pytest.raises(MergeError):
-        store.merge(sample_graph(spark).vertices, "modern", "v")
-    assert inner and store.version("modern", "v") == before + 1
+    rows = store.read("modern", "v")
+    assert queries(lambda: store.replace(rows, "modern", "v")) == 1
+    assert queries(lambda: store.merge(sample_graph(spark).vertices, "modern", "v")) == 2
+    assert queries(lambda: store.replace(store.read("modern", "v").where("false"), "modern", "v")) == 1
     assert store.read("modern", "v").count() == 6
 
 
+def test_options_reach_the_reader(spark, store):
+    old = GraphStore(spark, store.root, {"modifiedBefore": "2001-01-01T00:00:00"})
+    assert old.read("modern", "v").count() == 0
+    new = GraphStore(spark, store.root, {"modifiedAfter": "2001-01-01T00:00:00"})
+    assert new.read("modern", "v").count() == 6
+    with pytest.raises(ValueError):
+        GraphStore(spark, store.root, buckets=0)
+
+
 def test_absent_columns_keep_their_stored_values(spark, store):
     stamped = sample_graph(spark).vertices.withColumn("timestamp", F.lit("2020-01-01 00:00:00"))
     store.merge(stamped, "modern", "v")
@@ -224,9 +224,9 @@ def test_drop_keys_job(store):
     assert filters.flatten_properties(found).count() == 2
     edges = run_drop_keys(store, "modern", "e", ["weight"])
     assert edges.where("size(properties) = 0").count() == 6
-    version = store._latest("modern", "v")
+    before = store.read("modern", "v").inputFiles()
     run_drop_keys(store, "modern", "v", [])
-    assert store._latest("modern", "v") == version
+    assert sorted(store.read("modern", "v").inputFiles()) == sorted(before)
     for missing in (
         {"datasource": None, "kind": "v", "keys": []},
         {"datasource": "modern", "kind": None, "keys": []},

@@ -88,3 +88,32 @@ def as_text_lists(properties: Column) -> Column:
     return F.transform(
         or_empty(properties), lambda p: F.array(p["key"], p["type"], p["value"])
     )
+
+
+def as_map(properties: Column) -> Column:
+    """The list as ``map<key, struct<type, value>>``.
+
+    Of several entries under one key the first counts, as in :func:`typed_property`;
+    an entry without a key has no place in a map and is left out.
+    """
+    properties = or_empty(properties)
+    keys = F.transform(properties, lambda p: p["key"])
+    first = F.filter(
+        properties,
+        lambda p, i: p["key"].isNotNull() & (F.array_position(keys, p["key"]) == i + 1),
+    )
+    return F.map_from_entries(
+        F.transform(
+            first,
+            lambda p: F.struct(p["key"].alias("key"), F.struct(p["type"].alias("type"), p["value"].alias("value")).alias("value")),
+        )
+    )
+
+
+def from_map(entries: Column) -> Column:
+    """The property list of a map made by :func:`as_map`; an empty one for NULL."""
+    found = F.transform(
+        F.map_entries(entries),
+        lambda e: F.struct(e["key"].alias("key"), e["value"]["type"].alias("type"), e["value"]["value"].alias("value")),
+    )
+    return or_empty(found.cast(PROPERTIES_TYPE))

@@ -15,7 +15,7 @@ from vertexloom.operators.filters import exclude_labels
 from vertexloom.operators.index import IndexedGraph, index_graph
 from vertexloom.operators.pagerank import pagerank
 from vertexloom.operators.scratch import Scratch
-from vertexloom.operators.skew import HOT_ROWS, find_hot, lookup_join
+from vertexloom.operators.skew import HOT_ROWS, find_hot_of, lookup_join
 from vertexloom.operators.strong_components import strongly_connected_components
 from vertexloom.operators.writeback import set_property
 
@@ -53,13 +53,21 @@ class PropertyGraph:
         )
 
     def drop_dangling(self) -> PropertyGraph:
-        """Keep only edges whose two endpoints are vertices."""
+        """Keep only edges whose two endpoints are vertices.
+
+        The edges are saved once, which counts them; hot ends of either side are found
+        in one pass over the saved table.  ``release`` of the new graph deletes it.
+        """
+        scratch = Scratch(self.vertices.sparkSession)
+        edges, n_edges = scratch.save_counted(self.edges, "all-edges")
         ids = self.vertices.select("id").distinct().withColumnRenamed("id", "end")
-        kept, n_edges = self.edges, self.edges.count()
+        hot = find_hot_of(edges, ["src", "dst"], n_edges, self.hot_rows)
+        kept = edges
         for endpoint, spread_by in (("src", "dst"), ("dst", "src")):
-            hot = find_hot(self.edges, endpoint, n_edges, self.hot_rows)
-            kept = lookup_join(kept, endpoint, ids, "end", hot, spread_by, "left_semi")
-        return replace(self, edges=kept.select(*self.edges.columns))
+            kept = lookup_join(kept, endpoint, ids, "end", hot[endpoint], spread_by, "left_semi")
+        graph = replace(self, edges=kept.select(*self.edges.columns))
+        graph.__dict__["_scratch"] = scratch
+        return graph
 
     # -- reports ----------------------------------------------------------
 
@@ -67,9 +75,7 @@ class PropertyGraph:
         return reports.graph_count(self.vertices, self.edges)
 
     def summary(self, edge_label: str = "knows") -> DataFrame:
-        return reports.summary(
-            self.vertices, self.edges, self.out_degree(), edge_label
-        )
+        return reports.summary(self.vertices, self.edges, edge_label)
 
     # -- analytics --------------------------------------------------------
 
@@ -88,10 +94,14 @@ class PropertyGraph:
         reset: float = 0.15,
         max_iter: int | None = None,
         tol: float | None = None,
+        push: bool = False,
     ) -> DataFrame:
-        """``(id, rank)`` after ``max_iter`` rounds (default 10) or up to ``tol``."""
+        """``(id, rank)`` after ``max_iter`` rounds (default 10) or up to ``tol``.
+
+        With ``push`` only vertices that move by more than ``tol`` send.
+        """
         return pagerank(
-            self._indexed(), self._scratch, self.hot_rows, reset, max_iter, tol
+            self._indexed(), self._scratch, self.hot_rows, reset, max_iter, tol, push
         )
 
     def connected_components(self) -> DataFrame:

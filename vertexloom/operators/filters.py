@@ -49,6 +49,40 @@ def lift_properties(elements: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
+class TooManyKeysError(ValueError):
+    """The elements hold more property keys than a table should have columns."""
+
+
+def wide_table(elements: DataFrame, max_columns: int = 500) -> DataFrame:
+    """Typed columns for all property keys, whatever they are, next to ``id``.
+
+    One job finds the keys and the commonest type of each; the table itself is a
+    projection, without the shuffle that a pivot of the long form would take.
+    More than ``max_columns`` keys raise :class:`TooManyKeysError`, also keys that
+    differ in upper and lower case only, or are called ``id``, have no column of their
+    own and raise ``ValueError``.
+    """
+    from vertexloom.operators.reports import dominant_types
+
+    found = dominant_types(elements).where("key IS NOT NULL").orderBy("key").limit(max_columns + 1).collect()
+    if len(found) > max_columns:
+        raise TooManyKeysError(f"more than {max_columns} property keys")
+    names = [row["key"].lower() for row in found]
+    if len(set(names)) < len(names) or "id" in names:
+        raise ValueError("property keys that cannot be columns side by side")
+    return lift_properties(elements, {row["key"]: row["type"] for row in found})
+
+
+def map_form(elements: DataFrame) -> DataFrame:
+    """Elements with their properties as a map from key to type and value."""
+    return elements.withColumn("properties", P.as_map(F.col("properties")))
+
+
+def list_form(elements: DataFrame) -> DataFrame:
+    """Elements with the property lists of maps made by :func:`map_form`."""
+    return elements.withColumn("properties", P.from_map(F.col("properties")))
+
+
 def header(elements: DataFrame) -> DataFrame:
     """Elements without their properties."""
     return elements.select("datasource", "id", "label")

@@ -2,7 +2,9 @@
 
 Ids are strings of any length; the loops shuffle them many times.  One pass
 replaces them by 64-bit numbers, drops edges with an endpoint that is not a
-vertex, and merges parallel edges into one row with a multiplicity.
+vertex, and merges parallel edges into one row with a multiplicity.  The edges are
+written bucketed and sorted by source, so that loops over them start without a
+shuffle, however many analytics share them.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.scratch import Scratch
-from vertexloom.operators.skew import find_hot, lookup_join
+from vertexloom.operators.skew import find_hot_of, lookup_join, partitions_for
 
 
 @dataclass(frozen=True)
@@ -22,6 +24,7 @@ class IndexedGraph:
     edges: DataFrame  # (s, d, m), distinct pairs with their multiplicity
     n_vertices: int
     n_edges: int
+    partitions: int  # buckets of the edges, by source
 
 
 def index_graph(
@@ -34,19 +37,16 @@ def index_graph(
         .distinct()
         .select(F.monotonically_increasing_id().alias("v"), "id")
     )
-    numbered = scratch.save(numbered, "vertices")
+    numbered, n_vertices = scratch.save_counted(numbered, "vertices")
 
     pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    pairs = scratch.save(pairs, "pairs")
-    n_pairs = pairs.count()
+    pairs, n_pairs = scratch.save_counted(pairs, "pairs")
     tails = numbered.select(F.col("v").alias("s"), F.col("id").alias("tail"))
     heads = numbered.select(F.col("v").alias("d"), F.col("id").alias("head"))
-    mapped = lookup_join(
-        pairs, "src", tails, "tail", find_hot(pairs, "src", n_pairs, hot_rows), "dst"
-    )
-    mapped = lookup_join(
-        mapped, "dst", heads, "head", find_hot(pairs, "dst", n_pairs, hot_rows), "src"
-    )
-    indexed = scratch.save(mapped.select("s", "d", "m"), "edges")
+    hot = find_hot_of(pairs, ["src", "dst"], n_pairs, hot_rows)
+    mapped = lookup_join(pairs, "src", tails, "tail", hot["src"], "dst")
+    mapped = lookup_join(mapped, "dst", heads, "head", hot["dst"], "src")
+    partitions = partitions_for(vertices.sparkSession, n_pairs)
+    indexed, n_edges = scratch.save_bucketed(mapped.select("s", "d", "m"), "edges", "s", partitions)
     scratch.drop(pairs)
-    return IndexedGraph(numbered, indexed, numbered.count(), indexed.count())
+    return IndexedGraph(numbered, indexed, n_vertices, n_edges, partitions)

@@ -3,6 +3,11 @@
 All ranks start at 1 and a round computes
 ``reset + (1 - reset) * sum(rank(u) / out_degree(u))`` over the in-edges.
 Afterwards ranks are scaled so that they sum to the number of vertices.
+
+By push, a vertex keeps what it received and has not passed on yet as its
+residual, which is the amount by which a synchronous round would move its rank.
+Only vertices whose residual exceeds the tolerance send, so a round costs what
+its frontier costs.
 """
 
 from __future__ import annotations
@@ -10,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.operators.frontier import KeyedState, meet_few
 from vertexloom.operators.index import IndexedGraph
 from vertexloom.operators.scratch import Scratch
 from vertexloom.operators.skew import (
+    LISTED_KEYS,
     SLICE,
     RoundTable,
     hottest,
+    shuffle_partitions,
     slice_rows,
     slice_table,
 )
@@ -34,6 +42,8 @@ def pagerank(
     reset: float = 0.15,
     max_iter: int | None = None,
     tol: float | None = None,
+    push: bool = False,
+    few: int = LISTED_KEYS,
 ) -> DataFrame:
     """Ranks as ``(id, rank)``; stop after ``max_iter`` rounds (10 if neither is
     given) or once no rank moves by more than ``tol``.
@@ -41,6 +51,10 @@ def pagerank(
     With both, ``max_iter`` is a bound: :class:`NotStableError` is raised if ranks
     still move by more than ``tol`` then.  Below the rounding of the sums a ``tol``
     alone might never be reached.
+
+    ``push`` needs ``tol`` and sends residuals above it only, until none is left; the
+    ranks then solve the equation up to residuals of at most ``tol`` per vertex.  A
+    round of up to ``few`` senders reads the edges of these alone.
     """
     if not 0 < reset <= 1:
         raise ValueError("reset must be in (0, 1]")
@@ -48,19 +62,26 @@ def pagerank(
         raise ValueError("max_iter must be at least 1")
     if tol is not None and tol <= 0:
         raise ValueError("tol must be positive")
+    if push and tol is None:
+        raise ValueError("push needs tol")
     if tol is None and max_iter is None:
         max_iter = 10
 
-    edges = _weighted_edges(graph, scratch, hot_rows)
-    try:
-        if tol is None:
-            state = _fixed_rounds(edges, scratch, reset, max_iter)
-        else:
-            state = _until_stable(
-                edges, scratch, reset, tol, graph.n_vertices, max_iter
-            )
-    finally:
-        edges.release()
+    spark = graph.edges.sparkSession
+    partitions = graph.partitions
+    with shuffle_partitions(spark, partitions):
+        edges = _weighted_edges(graph, scratch, hot_rows, partitions)
+        try:
+            if tol is None:
+                state = _fixed_rounds(edges, scratch, reset, max_iter)
+            elif push:
+                state = _by_push(edges, scratch, reset, tol, max_iter, few)
+            else:
+                state = _until_stable(
+                    edges, scratch, reset, tol, graph.n_vertices, max_iter
+                )
+        finally:
+            edges.release()
 
     # Vertices without in-edges are not in the state: their rank is ``reset``.
     total, n_state = state.agg(F.sum("rank"), F.count(F.lit(1))).first()
@@ -72,7 +93,7 @@ def pagerank(
 
 
 def _weighted_edges(
-    graph: IndexedGraph, scratch: Scratch, hot_rows: int
+    graph: IndexedGraph, scratch: Scratch, hot_rows: int, partitions: int
 ) -> RoundTable:
     """Edges ``(s, d, w)`` by source, ``w`` the share of its rank an edge carries."""
     sources = graph.edges.groupBy("s").agg(
@@ -83,12 +104,15 @@ def _weighted_edges(
         sources = scratch.save(sources, "sources")
         hot = hottest(sources, "s", hot_rows)
     keys = ["s"] if hot is None else ["s", SLICE]
-    weighted = (
-        slice_rows(graph.edges, "s", hot, "d")
-        .join(slice_table(sources.select("s", "out"), "s", hot), keys)
-        .select(*keys, "d", (F.col("m") / F.col("out")).alias("w"))
-    )
-    return RoundTable.of(weighted, "s", hot, graph.n_edges)
+    # Dealt before the join, whose output then lies where the rounds need it.  Without
+    # hot keys the buckets of the table are the partitions.
+    dealt = graph.edges
+    if hot is not None:
+        dealt = slice_rows(dealt, "s", hot, "d").repartition(partitions, *keys)
+    weighted = dealt.join(
+        slice_table(sources.select("s", "out"), "s", hot), keys
+    ).select(*keys, "d", (F.col("m") / F.col("out")).alias("w"))
+    return RoundTable.of(weighted, "s", hot, partitions, dealt=True)
 
 
 def _round(edges: RoundTable, state: DataFrame | None, reset: float) -> DataFrame:
@@ -150,3 +174,62 @@ def _until_stable(
         scratch.drop(state)
         state = following
     return state.select("v", "rank")
+
+
+def _by_push(
+    edges: RoundTable,
+    scratch: Scratch,
+    reset: float,
+    tol: float,
+    max_iter: int | None,
+    few: int,
+) -> DataFrame:
+    """State ``(v, rank)`` of the vertices with in-edges, once no residual exceeds ``tol``.
+
+    All start at the rank ``reset``, which is final for vertices without in-edges.
+    """
+    received = F.lit((1 - reset) * reset) * F.sum("w")
+    first = edges.rows.groupBy(F.col("d").alias("v")).agg(received.alias("residual"))
+    first = first.select("v", F.lit(reset).alias("rank"), "residual")
+    state = KeyedState(first, "v", scratch, "ranks", few)
+    above = F.col("residual") > tol
+    touched, i = state.base, 1
+    n_senders = touched.where(above).count()
+    try:
+        while n_senders:
+            if max_iter is not None and i >= max_iter:
+                raise NotStableError(f"{n_senders} ranks still move after {i} rounds")
+            i += 1
+            # Untouched vertices have passed on what exceeded the tolerance before.
+            senders = touched.where(above).select("v", "residual")
+            moved, n_moved = scratch.save_counted(_pushed(edges, senders, n_senders, reset, few), "moved")
+            current = state.at(moved, n_moved).select(
+                "v",
+                (F.col("rank") + F.col("gained")).alias("rank"),
+                (F.col("residual") + F.col("more")).alias("residual"),
+            )
+            touched, seen = scratch.save_observed(current, "touched", n=F.count(F.lit(1)), senders=F.count_if(above))
+            n_senders = seen["senders"]
+            state.put(touched, seen["n"])
+            scratch.drop(moved)
+        rest = (F.col("rank") + F.col("residual")).alias("rank")
+        return scratch.save(state.all().select("v", rest), "pushed-ranks")
+    finally:
+        state.release()
+
+
+def _pushed(
+    edges: RoundTable, senders: DataFrame, n_senders: int, reset: float, few: int
+) -> DataFrame:
+    """What a push changes, ``(v, gained, more)``: rank gained, change of the residual."""
+    states = senders.select(F.col("v").alias("s"), "residual")
+    if n_senders <= few:
+        sent = meet_few(edges.rows, "s", states, n_senders)
+    else:
+        sent = edges.join(states)
+    got = sent.groupBy(F.col("d").alias("v")).agg(
+        (F.lit(1 - reset) * F.sum(F.col("w") * F.col("residual"))).alias("more")
+    )
+    own = senders.select("v", F.col("residual").alias("gained"), (-F.col("residual")).alias("more"))
+    both = own.unionByName(got.select("v", F.lit(0.0).alias("gained"), "more"))
+    return both.groupBy("v").agg(F.sum("gained").alias("gained"), F.sum("more").alias("more"))

@@ -50,24 +50,37 @@ def dominant_types(elements: DataFrame) -> DataFrame:
     )
 
 
-def summary(
-    vertices: DataFrame, edges: DataFrame, out_degrees: DataFrame, edge_label: str
-) -> DataFrame:
-    """Label counts, the count of one edge label and all out-degrees in long form."""
-
-    def section(name: str, rows: DataFrame, key: str | Column, value: str) -> DataFrame:
-        key = F.col(key) if isinstance(key, str) else key
-        return rows.select(
-            F.lit(name).alias("section"), key.alias("key"), F.col(value).alias("value")
-        )
-
-    # Read from the label counts, whose shuffle Spark then reuses: no scan of its own.
-    of_label = F.when(F.col("label") == edge_label, F.col("cnt"))
-    by_label = label_counts(edges)
-    chosen = by_label.agg(F.coalesce(F.sum(of_label), F.lit(0)).alias("cnt"))
-    return (
-        section("vertex_label", label_counts(vertices), "label", "cnt")
-        .unionByName(section("edge_label", by_label, "label", "cnt"))
-        .unionByName(section("edge_count", chosen, F.lit(edge_label), "cnt"))
-        .unionByName(section("out_degree", out_degrees, "id", "degree"))
+def summary(vertices: DataFrame, edges: DataFrame, edge_label: str) -> DataFrame:
+    """Label counts, the count of one edge label and all out-degrees in long form.
+
+    Edges are counted by label and by source in one pass over them.
+    """
+    # The label asked for has a row with the count 0 even if no edge carries it.
+    asked = edges.sparkSession.range(1).select(
+        F.lit(edge_label).alias("label"), F.lit(None).cast("string").alias("src"), F.lit(0).alias("n")
+    )
+    counted = edges.select("label", "src", F.lit(1).alias("n")).unionByName(asked)
+    counted = counted.groupingSets([["label"], ["src"]], "label", "src").agg(
+        F.grouping("src").cast("boolean").alias("by_label"), F.sum("n").alias("cnt")
+    )
+
+    def entry(name: str, key: Column, wanted: Column) -> Column:
+        row = F.struct(F.lit(name).alias("section"), key.alias("key"), F.col("cnt").alias("value"))
+        return F.when(wanted, row)
+
+    label, found = F.col("label"), F.col("cnt") > 0
+    of_edges = counted.select(
+        F.explode(
+            F.array_compact(
+                F.array(
+                    entry("edge_label", label, F.col("by_label") & found),
+                    entry("edge_count", label, F.col("by_label") & label.eqNullSafe(edge_label)),
+                    entry("out_degree", F.col("src"), ~F.col("by_label") & found),
+                )
+            )
+        ).alias("e")
+    ).select("e.*")
+    of_vertices = label_counts(vertices).select(
+        F.lit("vertex_label").alias("section"), label.alias("key"), F.col("cnt").alias("value")
     )
+    return of_vertices.unionByName(of_edges)

@@ -12,7 +12,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -50,6 +51,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/vertexloom-{uuid.uuid4().hex}"
         self._paths: list[str] = []
+        self._tables: dict[str, str] = {}  # catalog tables by path
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the DataFrame that reads it back."""
@@ -60,13 +62,53 @@ class Scratch:
         table._scratch_path = path
         return table
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, int]:
+        """Write ``df`` as a catalog table bucketed and sorted by ``key``; with the number
+        of rows.  Joins and aggregations by the key start from it without a shuffle."""
+        path = f"{self.root}/{len(self._paths):04d}-{name}"
+        self._paths.append(path)
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self._tables[path] = table
+        seen = Observation()
+        (
+            df.repartition(buckets, key)
+            .observe(seen, F.count(F.lit(1)).alias("n"))
+            .write.format("parquet")
+            .bucketBy(buckets, key)
+            .sortBy(key)
+            .option("path", path)
+            .saveAsTable(table)
+        )
+        found = self.spark.table(table)
+        found._scratch_path = path
+        return found, seen.get["n"]
+
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Like :meth:`save`, with the number of rows, which the write itself observes."""
+        table, seen = self.save_observed(df, name, n=F.count(F.lit(1)))
+        return table, seen["n"]
+
+    def save_observed(self, df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """Like :meth:`save`, with aggregates over the rows, which the write itself observes."""
+        seen = Observation()
+        table = self.save(df.observe(seen, *(column.alias(key) for key, column in aggregates.items())), name)
+        return table, seen.get
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete tables made by :meth:`save`; nothing may read them any more."""
         for table in tables:
             path = getattr(table, "_scratch_path", None)
             if path is not None:
+                self._forget(path)
                 delete_path(self.spark, path)
 
     def clear(self) -> None:
         """Delete all tables, the ones behind returned results included."""
+        for path in list(self._tables):
+            self._forget(path)
         delete_path(self.spark, self.root)
+
+    def _forget(self, path: str) -> None:
+        table = self._tables.pop(path, None)
+        if table is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")

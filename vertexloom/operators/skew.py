@@ -15,10 +15,11 @@ execution splits where a key is large.
 from __future__ import annotations
 
 import math
-
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_PARTITION = 10_000_000
@@ -55,6 +56,19 @@ def find_hot(rows: DataFrame, key: str, n_rows: int, hot_rows: int) -> DataFrame
     return hottest(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, hot_rows)
 
 
+def find_hot_of(rows: DataFrame, keys: list[str], n_rows: int, hot_rows: int) -> dict[str, DataFrame | None]:
+    """Hot values of several keys of one type, all counted in one pass."""
+    if n_rows <= hot_rows:
+        return dict.fromkeys(keys)
+    sides = [F.struct(F.lit(k).alias("side"), F.col(k).alias("key")) for k in keys]
+    counts = rows.select(F.explode(F.array(*sides)).alias("k")).groupBy("k.side", "k.key").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col("n") > hot_rows).persist()
+    try:
+        return {k: hottest(counts.where(F.col("side") == k), "key", hot_rows) for k in keys}
+    finally:
+        counts.unpersist()
+
+
 def slice_rows(
     rows: DataFrame, key: str, hot: DataFrame | None, spread_by: str
 ) -> DataFrame:
@@ -103,13 +117,40 @@ def lookup_join(
     return rows.join(table, condition, how).drop("__key", SLICE, "__copy")
 
 
+@contextmanager
+def shuffle_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Shuffles planned meanwhile have ``n`` partitions.
+
+    A round aggregates its states by the key that they join the long table on
+    next.  With as many partitions as that table has, one shuffle serves both.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def partitions_for(spark: SparkSession, n_rows: int) -> int:
+    """Partitions of a long table: the session's setting, less if a round of a small
+    table would be all scheduling, and more if partitions would grow too large."""
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(
+        min(setting, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)),
+        math.ceil(n_rows / ROWS_PER_PARTITION),
+        2,  # a single partition would not count as hash-partitioned
+    )
+
+
 @dataclass(frozen=True)
 class RoundTable:
     """A long table that every round of a loop joins with new states.
 
     It is sliced, hash-partitioned and sorted by its key once and persisted in
     that form; states are brought to the same partitioning, so a round moves and
-    sorts the states only.
+    sorts the states only.  Use it within :func:`shuffle_partitions`.
     """
 
     rows: DataFrame
@@ -119,28 +160,22 @@ class RoundTable:
 
     @classmethod
     def of(
-        cls, sliced: DataFrame, key: str, hot: DataFrame | None, n_rows: int
+        cls, sliced: DataFrame, key: str, hot: DataFrame | None, partitions: int, dealt: bool = False
     ) -> RoundTable:
         """From rows that went through :func:`slice_rows` with the same ``hot``.
 
-        The number of partitions follows the size: the session's setting, less
-        if a round of a small table would be all scheduling, and more if
-        partitions would grow too large.
+        ``dealt`` rows lie in as many partitions by the table's keys already.
         """
         keys = [key] if hot is None else [key, SLICE]
-        setting = int(sliced.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        partitions = max(
-            min(setting, math.ceil(n_rows / MIN_ROWS_PER_PARTITION)),
-            math.ceil(n_rows / ROWS_PER_PARTITION),
-            2,  # a single partition would not count as hash-partitioned
-        )
-        rows = sliced.repartition(partitions, *keys).sortWithinPartitions(*keys)
-        return cls(rows.persist(), keys, hot, partitions)
+        rows = sliced if dealt else sliced.repartition(partitions, *keys)
+        return cls(rows.sortWithinPartitions(*keys).persist(), keys, hot, partitions)
 
     def join(self, states: DataFrame, how: str = "inner") -> DataFrame:
-        """Join with states that have one row per key, under the key's name."""
-        states = slice_table(states, self.keys[0], self.hot)
-        states = states.repartition(self.partitions, *self.keys).hint("merge")
+        """Join with states that have one row per key, under the key's name.
+
+        Rounds with few states go through :func:`frontier.meet_few` instead.
+        """
+        states = slice_table(states, self.keys[0], self.hot).hint("merge")
         return self.rows.join(states, self.keys, how)
 
     def release(self) -> None:

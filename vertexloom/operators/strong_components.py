@@ -17,18 +17,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.components import name_components
+from vertexloom.operators.frontier import KeyedState, meet_few
 from vertexloom.operators.index import IndexedGraph
 from vertexloom.operators.scratch import Scratch
-from vertexloom.operators.skew import RoundTable, find_hot, lookup_join, slice_rows
+from vertexloom.operators.skew import (
+    LISTED_KEYS,
+    RoundTable,
+    find_hot,
+    lookup_join,
+    partitions_for,
+    shuffle_partitions,
+    slice_rows,
+)
 
 ROUNDS_BEFORE_LEAPS = 6  # graphs of small width are done by then
 TRIM_AGAIN_ABOVE = 0.1  # share of the edges a trim must remove to be repeated
 
 
 def strongly_connected_components(
-    graph: IndexedGraph, scratch: Scratch, hot_rows: int
+    graph: IndexedGraph, scratch: Scratch, hot_rows: int, few: int = LISTED_KEYS
 ) -> DataFrame:
-    """``(id, component)``, where a component is named by its smallest id."""
+    """``(id, component)``, where a component is named by its smallest id.
+
+    A round in which at most ``few`` labels changed before reads their links alone.
+    """
     edges = scratch.save(graph.edges.where("s <> d").select("s", "d"), "scc-edges")
     n_edges = edges.count()
     found: list[DataFrame] = []
@@ -38,7 +50,7 @@ def strongly_connected_components(
         if not n_edges:
             break
         turn += 1
-        labels = _spread(edges, n_edges, turn, scratch, hot_rows)
+        labels = _spread(edges, n_edges, turn, scratch, hot_rows, few)
         resolved = _resolved(labels, 2 * n_edges, hot_rows)
         found.append(scratch.save(resolved, f"resolved-{turn}"))
         rest = _inner_edges(edges, n_edges, labels, hot_rows)
@@ -87,15 +99,18 @@ def _priority(vertex: str, turn: int) -> Column:
 
 
 def _spread(
-    edges: DataFrame, n_edges: int, turn: int, scratch: Scratch, hot_rows: int
+    edges: DataFrame, n_edges: int, turn: int, scratch: Scratch, hot_rows: int, few: int
 ) -> DataFrame:
     """Labels ``(p, v, f, b)``: priority, vertex, and the smallest priority
     among the vertices that reach it (``f``) and that it reaches (``b``).
 
-    Only vertices whose label improved send it on.  If that takes many rounds, a
-    label also takes over the label of its own pivot, which multiplies the reach
-    each round, so a long path needs logarithmically many rounds.
+    Only vertices whose label improved send it on, and where these are few only
+    their links and the labels of their neighbours are read.  If that takes many
+    rounds, a label also takes over the label of its own pivot, which multiplies the
+    reach each round, so a long path needs logarithmically many rounds.
     """
+    spark = edges.sparkSession
+    partitions = partitions_for(spark, 2 * n_edges)
     ends = edges.select(
         F.explode(
             F.array(
@@ -115,60 +130,80 @@ def _spread(
         ).alias("e")
     ).select("e.*")
     hot = find_hot(ends, "sender", 2 * n_edges, hot_rows)
-    links = slice_rows(ends.drop("v"), "sender", hot, "p")
-    links = RoundTable.of(links, "sender", hot, 2 * n_edges)
-
-    labels = (
+    first = (
         ends.select(F.col("sender").alias("p"), "v")
         .distinct()
-        .select(
-            "p",
-            "v",
-            F.col("p").alias("f"),
-            F.col("p").alias("b"),
-            F.lit(True).alias("changed"),
-        )
+        .select("p", "v", F.col("p").alias("f"), F.col("p").alias("b"), F.lit(True).alias("changed"))
     )
-    labels = scratch.save(labels, "labels")
-    n_labels = labels.count()
-    rounds = 0
-    try:
-        while not labels.where("changed").isEmpty():
-            rounds += 1
-            best = {"f": ["f", "got_f"], "b": ["b", "got_b"]}
-            following = _exchange(links, labels)
-            if rounds > ROUNDS_BEFORE_LEAPS:
-                for column, offers in best.items():
-                    following = _leap(following, labels, column, n_labels, hot_rows)
-                    offers.append(f"leap_{column}")
-            f, b = F.least(*best["f"]), F.least(*best["b"])
-            following = following.select(
-                "p",
-                "v",
-                f.alias("f"),
-                b.alias("b"),
-                ((f < F.col("f")) | (b < F.col("b"))).alias("changed"),
-            )
-            following = scratch.save(following, "labels")
-            scratch.drop(labels)
-            labels = following
-    finally:
-        links.release()
-    return labels
-
-
-def _exchange(links: RoundTable, labels: DataFrame) -> DataFrame:
-    """Labels with the best value each vertex got from its neighbours."""
-    senders = labels.where("changed").select(F.col("p").alias("sender"), "f", "b")
-    got = (
-        links.join(senders)
-        .groupBy("p")
-        .agg(
-            F.min(F.when(F.col("forward"), F.col("f"))).alias("got_f"),
-            F.min(F.when(~F.col("forward"), F.col("b"))).alias("got_b"),
-        )
+    with shuffle_partitions(spark, partitions):
+        links = slice_rows(ends.drop("v"), "sender", hot, "p")
+        links = RoundTable.of(links, "sender", hot, partitions)
+        labels = KeyedState(first, "p", scratch, "labels", few)
+        try:
+            _settle(links, labels, scratch, hot_rows)
+            return scratch.save(labels.all(), "settled")
+        finally:
+            links.release()
+            labels.release()
+
+
+def _settle(links: RoundTable, labels: KeyedState, scratch: Scratch, hot_rows: int) -> None:
+    """Exchange labels until none improves."""
+    changed, n_changed, rounds = labels.base, labels.n_rows, 0
+    while n_changed:
+        rounds += 1
+        leaps = rounds > ROUNDS_BEFORE_LEAPS
+        if n_changed > labels.few:
+            labels.replace(_full_round(links, labels.all(), changed, leaps, labels.n_rows, hot_rows))
+            changed = labels.base.where("changed")
+            n_changed = changed.count()
+            continue
+        offers = _offers(links, changed, n_changed, True)
+        if leaps:
+            for column in ("f", "b"):
+                offers = offers.unionByName(_leaps_to(labels.all(), changed, column))
+        offers = offers.groupBy("p").agg(F.min("got_f").alias("got_f"), F.min("got_b").alias("got_b"))
+        offers, n_offers = scratch.save_counted(offers, "offers")
+        better = _improved(labels.at(offers, n_offers)).where("changed")
+        old, (changed, n_changed) = offers, scratch.save_counted(better, "better")
+        if n_changed:
+            labels.put(changed, n_changed)
+        scratch.drop(old)
+
+
+def _offers(links: RoundTable, changed: DataFrame, n_changed: int, few: bool) -> DataFrame:
+    """Best values ``(p, got_f, got_b)`` that vertices get from changed neighbours."""
+    senders = changed.select(F.col("p").alias("sender"), "f", "b")
+    met = meet_few(links.rows, "sender", senders, n_changed) if few else links.join(senders)
+    return met.groupBy("p").agg(
+        F.min(F.when(F.col("forward"), F.col("f"))).alias("got_f"),
+        F.min(F.when(~F.col("forward"), F.col("b"))).alias("got_b"),
+    )
+
+
+def _improved(labels: DataFrame, f: tuple[str, ...] = ("got_f",), b: tuple[str, ...] = ("got_b",)) -> DataFrame:
+    """Labels with the best of what they have and what is offered beside it."""
+    best_f, best_b = F.least("f", *f), F.least("b", *b)
+    return labels.select(
+        "p",
+        "v",
+        best_f.alias("f"),
+        best_b.alias("b"),
+        ((best_f < F.col("f")) | (best_b < F.col("b"))).alias("changed"),
     )
-    return labels.select("p", "v", "f", "b").join(got, "p", "left")
+
+
+def _full_round(
+    links: RoundTable, labels: DataFrame, changed: DataFrame, leaps: bool, n_labels: int, hot_rows: int
+) -> DataFrame:
+    """All labels after a round in which many changed before."""
+    got = _offers(links, changed, n_labels, False)
+    following, f, b = labels.drop("changed").join(got, "p", "left"), ["got_f"], ["got_b"]
+    if leaps:
+        for column, offered in (("f", f), ("b", b)):
+            following = _leap(following, labels, column, n_labels, hot_rows)
+            offered.append(f"leap_{column}")
+    return _improved(following, tuple(f), tuple(b))
 
 
 def _leap(
@@ -182,6 +217,15 @@ def _leap(
     return lookup_join(following, column, pivots, "pivot", hot, "p", "left")
 
 
+def _leaps_to(labels: DataFrame, changed: DataFrame, column: str) -> DataFrame:
+    """Offers to vertices whose pivot is among the few whose label changed."""
+    pivots = changed.select(F.col("p").alias("pivot"), F.col(column).alias("leap"))
+    met = labels.join(F.broadcast(pivots), (F.col(column) == F.col("pivot")) & (F.col("leap") < F.col(column)))
+    none = F.lit(None).cast("long")
+    got = {c: (F.col("leap") if c == column else none).alias(f"got_{c}") for c in ("f", "b")}
+    return met.select("p", got["f"], got["b"])
+
+
 def _resolved(labels: DataFrame, n_rows: int, hot_rows: int) -> DataFrame:
     """Vertices ``(v, label)`` whose component is known, named by its pivot."""
     done = labels.where("f = b").select("p", "v", "f")

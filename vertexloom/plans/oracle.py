@@ -357,6 +357,35 @@ ALL: dict[str, str] = {
     "pagerank_trade": _pagerank(_TRADE, 0.15, 10),
     # The ranks' error falls to a fifth in each round; after 30 it is below any digit.
     "pagerank_tol_trade": _pagerank(_TRADE, 0.8, 30),
+    "pagerank_push_trade": _pagerank(_TRADE, 0.8, 30),
+    "typed_variants": f"""
+WITH p AS ({_VP} UNION ALL {_EP})
+SELECT id, key,
+  CASE type WHEN 'java.lang.String' THEN 'STRING' WHEN 'java.lang.Double' THEN 'DOUBLE'
+    WHEN 'java.sql.Date' THEN 'DATE' ELSE 'BIGINT' END AS kind,
+  CASE WHEN type IN ('java.lang.Double', 'java.lang.Integer', 'java.lang.Long')
+    THEN ROUND(TRY_CAST(value AS DOUBLE), 2) END AS number,
+  CASE WHEN type = 'java.sql.Date' THEN TRY_CAST(value AS DATE) END AS day,
+  CASE WHEN type = 'java.lang.String' THEN value END AS text
+FROM p""",
+    "json_variants": """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  props IS NOT NULL AND json_valid(props) AS is_json FROM events""",
+    "property_map_round_trip": f"SELECT {_FLAT} FROM ({_VP})",
+    "property_map_lookup": f"""
+SELECT v.id, p.value AS name FROM ({_V}) v
+LEFT JOIN (SELECT id, value FROM ({_VP}) WHERE key = 'name') p ON v.id = p.id""",
+    "wide_typed_table": f"""
+SELECT v.id,
+  MAX(CASE WHEN key = 'balance' THEN ROUND(CAST(value AS DOUBLE), 2) END) AS balance,
+  MAX(CASE WHEN key = 'brand' THEN value END) AS brand,
+  MAX(CASE WHEN key = 'day' THEN CAST(value AS DATE) END) AS day,
+  MAX(CASE WHEN key = 'name' THEN value END) AS name,
+  MAX(CASE WHEN key = 'priority' THEN value END) AS priority,
+  MAX(CASE WHEN key = 'segment' THEN value END) AS segment,
+  MAX(CASE WHEN key = 'size' THEN CAST(value AS INTEGER) END) AS size,
+  MAX(CASE WHEN key = 'status' THEN value END) AS status
+FROM ({_V}) v LEFT JOIN ({_VP}) p ON v.id = p.id GROUP BY v.id""",
     "connected_components": _commerce(_PLACED_COMPONENTS),
     "connected_components_commerce": _recursive(
         _COMMERCE, _SMALLEST, "SELECT id, component FROM best"

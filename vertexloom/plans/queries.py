@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions import properties as P
+from vertexloom.functions import variants
 from vertexloom.functions.types import DOUBLE_TAG, parse_tagged, parse_timestamp
 from vertexloom.graph import PropertyGraph
 from vertexloom.operators import filters, reports, writeback
@@ -21,7 +22,7 @@ from vertexloom.plans.jobs import run_drop_keys, run_job
 from vertexloom.schema import VERTEX_SCHEMA
 from vertexloom.sources import catalog
 from vertexloom.sources.export import to_json_rows
-from vertexloom.sources.relational import commerce, refers, trade
+from vertexloom.sources.relational import commerce, load, refers, trade
 from vertexloom.sources.store import GraphStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +319,58 @@ def replace_property_lists(spark, folder):
     return _flat(writeback.replace_properties(graph.vertices, lists))
 
 
+def typed_variants(spark, folder):
+    """Values of all properties in one column, each in the type of its tag."""
+    graph = commerce(spark, folder)
+    elements = graph.vertices.unionByName(graph.edges.drop("src", "dst"))
+    value = F.col("variant")
+    kind = variants.variant_kind(value)
+    number = F.when(kind.isin("BIGINT", "DOUBLE"), F.round(variants.variant_as(value, "double"), 2))
+    return variants.variant_properties(elements).select(
+        "id",
+        "key",
+        kind.alias("kind"),
+        number.alias("number"),
+        F.when(kind == "DATE", variants.variant_as(value, "date")).alias("day"),
+        F.when(kind == "STRING", variants.variant_as(value, "string")).alias("text"),
+    )
+
+
+def json_variants(spark, folder):
+    """Event properties read as JSON; user ids, whatever they are, as numbers."""
+    events = load(spark, folder, "events")
+    read = events.select("event_id", variants.json_variant(F.col("props")).alias("v"), "props")
+    return read.select(
+        "event_id",
+        variants.variant_as(F.col("v"), "bigint", "$.k").alias("k"),
+        F.col("v").isNotNull().alias("is_json"),
+    )
+
+
+def property_map_round_trip(spark, folder):
+    """Vertices in map form and back in list form."""
+    vertices = filters.map_form(commerce(spark, folder).vertices)
+    return _flat(filters.list_form(vertices))
+
+
+def property_map_lookup(spark, folder):
+    """One key read from the map form."""
+    vertices = filters.map_form(commerce(spark, folder).vertices)
+    return vertices.select("id", F.col("properties")["name"]["value"].alias("name"))
+
+
+def wide_typed_table(spark, folder):
+    """A typed column for every property key that occurs, found by a query."""
+    wide = filters.wide_table(commerce(spark, folder).vertices)
+    return wide.withColumn("balance", F.round("balance", 2))
+
+
+def pagerank_push_trade(spark, folder):
+    """As ``pagerank_tol_trade``, by pushing residuals of a frontier."""
+    ranks = trade(spark, folder).pagerank(reset=0.8, tol=1e-12, push=True)
+    return _rounded(ranks, "rank")
+
+
 def property_key_catalogue(spark, folder):
     found = reports.property_catalogue(commerce(spark, folder).vertices)
     return found.orderBy(F.desc("cnt"), "key", "type")
@@ -508,6 +561,7 @@ ALL: dict[str, Query] = {
         pagerank_refers,
         pagerank_trade,
         pagerank_tol_trade,
+        pagerank_push_trade,
         connected_components,
         connected_components_commerce,
         connected_components_refers,
@@ -530,6 +584,11 @@ ALL: dict[str, Query] = {
         append_long_properties,
         replace_property_lists,
         property_key_catalogue,
+        typed_variants,
+        json_variants,
+        property_map_round_trip,
+        property_map_lookup,
+        wide_typed_table,
         dominant_property_type,
         top_property_type,
         find_by_property,
