@@ -68,9 +68,10 @@ def pack(
     """Sequences, each a list of pieces, from ``(owner, ids, loss mask)``.
 
     With ``cut`` a gap that no whole piece fits is filled with part of one, so
-    all sequences but the last few are full; the rest is dealt out in lengths
-    that are powers of two.  Without it examples stay whole, and one that
-    exceeds a limit by itself is cut at the limits, as it fits nowhere else.
+    sequences are full; one that another limit ends before, and the last ones, are
+    dealt out in lengths that are powers of two, which need no padding.  Without it
+    examples stay whole, and one that exceeds a limit by itself is cut at the
+    limits, as it fits nowhere else.
     """
     pool: list[Piece] = []
     sizes = np.zeros((0, 3))
@@ -121,24 +122,25 @@ def pack(
             room -= size(piece)
         return chosen
 
+    def finished(sequence: list[Piece]) -> Iterator[list[Piece]]:
+        n = sum(len(p.ids) for p in sequence)
+        if cut and n < limits.tokens:
+            return _powers_of_two(sequence, n)
+        return iter([sequence])
+
     for owner, ids, loss in examples:
         rest = Piece(owner, 0, ids, loss, len(ids))
         while (at := fitting(rest, limits.tokens, limits.loss_tokens)) < len(rest.ids):
             head, rest = rest.cut(at)
-            yield [head]
+            yield from finished([head])
         if len(rest.ids) == limits.tokens:
             yield [rest]
         elif len(rest.ids):
             add([rest])
         while len(pool) >= pool_size:
-            yield next_sequence()
+            yield from finished(next_sequence())
     while pool:
-        last = next_sequence()
-        n = sum(len(p.ids) for p in last)
-        if cut and not pool and n < limits.tokens:
-            yield from _powers_of_two(last, n)
-        else:
-            yield last
+        yield from finished(next_sequence())
 
 
 def _powers_of_two(pieces: list[Piece], n: int) -> Iterator[list[Piece]]:
@@ -173,33 +175,68 @@ def pack_documents(
     read.  ``sequence_id`` is unique, ``offset`` counts from 0 without gaps.
     """
 
+    def examples(batch):
+        end = np.array([end_id], "<u4")
+        for owner, found in zip(batch["doc_id"].array, encoder(tokenizer).each(batch["text"].array)):
+            ids = np.concatenate([found, end])
+            yield owner, ids, np.ones(len(ids), bool)
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _packed(own, examples, limits, cut)
+
+
+def pack_examples(
+    rows: DataFrame,
+    tokenizer: str = "byte_bpe_50k.json",
+    end_id: int = 1,
+    limits: Limits = Limits(loss_tokens=1024),
+    cut: bool = False,
+) -> DataFrame:
+    """Like :func:`pack_documents` for instruction data, of which only some tokens bear loss.
+
+    ``rows`` has ``doc_id`` and ``parts``, an array of ``(text, loss)`` in order: prompts
+    without and answers with loss.  Each part is encoded by itself and the end id
+    bears loss if the last part does.  Null parts and texts are empty, a null ``loss``
+    is false.  Unless ``cut``, an example stays in one sequence where it fits in one.
+    """
+
+    def examples(batch):
+        parts = [[] if p is None else [x for x in p if x is not None] for p in batch["parts"]]
+        found = encoder(tokenizer).each([x["text"] for p in parts for x in p])
+        for owner, of in zip(batch["doc_id"].array, parts):
+            ids, loss = [], []
+            for part in of:
+                ids.append(next(found))
+                loss.append(np.full(len(ids[-1]), bool(part["loss"])))
+            ids.append(np.array([end_id], "<u4"))
+            loss.append(np.array([bool(of and of[-1]["loss"])]))
+            yield owner, np.concatenate(ids), np.concatenate(loss)
+
+    own = rows.select(F.col("doc_id").cast("long"), F.col("parts").cast("array<struct<text: string, loss: boolean>>"))
+    return _packed(own, examples, limits, cut)
+
+
+def _packed(rows: DataFrame, examples, limits: Limits, cut: bool) -> DataFrame:
+    """Pieces of what ``examples`` makes of each batch: ``(owner, ids, loss mask)``."""
+
     def run(batches):
         import pandas as pd
 
-        encode = encoder(tokenizer).ids
-        end = np.array([end_id], "<u4")
         base = TaskContext.get().partitionId() << TASK_SHIFT
-
-        def examples():
-            for batch in batches:
-                for owner, text in zip(batch["doc_id"].array, batch["text"].array):
-                    ids = np.concatenate([encode(text), end])
-                    yield (None if pd.isna(owner) else int(owner)), ids, np.ones(len(ids), bool)
-
-        rows = []
-        for number, sequence in enumerate(pack(examples(), limits, cut)):
+        given = ((None if pd.isna(owner) else int(owner), ids, loss) for batch in batches for owner, ids, loss in examples(batch))
+        out = []
+        for number, sequence in enumerate(pack(given, limits, cut)):
             offset = 0
             for p in sequence:
-                rows.append((p.owner, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, base + number, offset, int(p.loss.sum())))
+                out.append((p.owner, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, base + number, offset, int(p.loss.sum())))
                 offset += len(p.ids)
-            if len(rows) >= 20_000:
-                yield _frame(rows)
-                rows = []
-        if rows:
-            yield _frame(rows)
+            if len(out) >= 20_000:
+                yield _frame(out)
+                out = []
+        if out:
+            yield _frame(out)
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInPandas(run, SCHEMA)
+    return rows.mapInPandas(run, SCHEMA)
 
 
 def _frame(rows: list[tuple]):

@@ -21,7 +21,7 @@ import numpy as np
 
 from vertexloom.llm.common import tokenizer_file
 
-MEMORY = 128 << 20  # bytes one memory of words may take, about; then it starts afresh
+MEMORY = 192 << 20  # bytes one memory of words may take, about; then it starts afresh
 LONGEST = 64  # characters of the longest stretch that is remembered
 ENTRY = 170  # bytes an entry takes besides its content, about
 BATCH_CHARS = 1 << 20  # texts handled at once have so many characters, or are one text
@@ -32,6 +32,7 @@ PIECES = re.compile(
 )
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*")
 BLANK_AFTER_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+BLANK_AFTER_ASCII = [pair for pair in BLANK_AFTER_SPACE if pair.isascii()]
 WORD_STARTS = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
@@ -44,7 +45,8 @@ def byte_letters() -> dict[int, str]:
 
 def blanks_alone(text: str) -> bool:
     """Whether every blank of the text follows something other than white space."""
-    return not any(pair in text for pair in BLANK_AFTER_SPACE)
+    pairs = BLANK_AFTER_ASCII if text.isascii() else BLANK_AFTER_SPACE
+    return not any(pair in text for pair in pairs)
 
 
 def text_batches(texts: Iterable[str | None]) -> Iterator[list[str]]:
@@ -136,48 +138,45 @@ class Encoder:
             self.token_length[i] = len(token)
         self.after_blank = Memory(lambda words: self.chunks([" " + w for w in words]), limit=limit)
         self.other = Memory(self.chunks, limit=limit)
-        self.pieces = Memory(self._pieces, limit=limit)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of matches of the pattern: the model's on all of them, cut by length."""
-        if not pieces:
+    def _cut(self, pieces: list[str], sizes: list[int]) -> list[bytes]:
+        """Ids of stretches of ``sizes`` bytes, given as matches of the pattern.
+
+        The model encodes all matches in one call; tokens are dealt out by length.
+        """
+        if not sizes:
             return []
-        mapped = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
-        ids = np.array(self.pieces_only.encode_batch_fast([self.divider.join(mapped)])[0].ids, "<u4")
-        stops = np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum([len(m) for m in mapped])) + 1
+        # The byte 0 stands between matches, and its letter is the divider.
+        mapped = "\0".join(pieces).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.pieces_only.encode_batch_fast([mapped])[0].ids, "<u4")
+        stops = np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(sizes)) + 1
         raw, stops = ids.tobytes(), (4 * stops).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
-        flat, counts, rest = [], [], []
-        for chunk in chunks:
-            # One match of the pattern, in most cases.
-            if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-                flat.append(chunk)
-                counts.append(1)
-            elif PLAIN.fullmatch(chunk):
-                parts = PIECES.findall(chunk)
-                flat += parts
-                counts.append(len(parts))
-            else:
-                rest.append(chunk)
-                counts.append(-1)
-        found, at = self.pieces.of([flat])[0], 0
-        whole, out = iter(self._whole(rest)), []
-        for n in counts:
-            if n == 1:
-                out.append(found[at])
-                at += 1
-            elif n < 0:
-                out.append(next(whole))
-            else:
-                out.append(b"".join(found[at : at + n]))
-                at += n
-        return out
+        """Ids of stretches of text, each by itself.
+
+        Those that start with a blank and end in something else are split by the
+        pattern side by side, as no match goes on from one to the next.
+        """
+        plain = [(c.isascii() and c.isprintable()) or PLAIN.fullmatch(c) is not None for c in chunks]
+        row = [ok and c[:1] == " " and not c[-1].isspace() for c, ok in zip(chunks, plain)]
+        together = [c for c, ok in zip(chunks, row) if ok]
+        found = iter(self._cut(PIECES.findall("".join(together)), [len(c.encode()) for c in together]))
+        if len(together) == len(chunks):
+            return list(found)
+        apart = [c for c, p, r in zip(chunks, plain, row) if p and c and not r]
+        matches = [m for c in apart for m in PIECES.findall(c)]
+        single = iter(self._cut(matches, [len(c.encode()) for c in apart]))
+        whole = iter(self._whole([c for c, ok in zip(chunks, plain) if not ok]))
+        return [
+            b"" if not c else next(found) if r else next(single) if p else next(whole)
+            for c, p, r in zip(chunks, plain, row)
+        ]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian uint32."""
