@@ -109,10 +109,12 @@ def test_empty_tables(spark):
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(alphabet=st.sampled_from(list("ab eéß1_'.\n\t 　日▁<0x>A")), max_size=40))
 def test_stretches_equal_whole_texts(text):
-    own = A.aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    own = A.aligner("byte_bpe_50k.json", "piece_bpe_32k.model", True)
     batch = A._Batch(own, [text])
     a, b, links, groups = aligned(text)
     digest = [int(v[0]) for v in batch.digests().values()]
+    expected = hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""
+    assert batch.group_hashes() == [expected]
     assert digest == [len(a), len(b), len(groups), len(links)]
     pairs = own.pair_keys()[batch.document_pairs()[1]].tolist()
     assert sorted(pairs) == sorted({x << 32 | y for x, y in links})

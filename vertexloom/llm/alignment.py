@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.llm.common import fair_share, mix64, tokenizer_file
-from vertexloom.llm.tokenizing import MEMORY, Encoder, blanks_alone, text_batches
+from vertexloom.llm.tokenizing import Encoder, blanks_alone, text_batches
 from vertexloom.operators.scratch import Scratch
 from vertexloom.operators.skew import find_hot, lookup_join
 
@@ -43,7 +43,8 @@ BUCKETS = 64  # of pairs, each with a hash function and vectors of its own
 FAN_IN = 64  # partial results merged at once
 LISTED_PAIRS = 4_000_000  # counts that are broadcast, some 20 bytes each
 ROOM = 2  # bits per key on a level of the hash function
-ENTRY = 700  # bytes a remembered stretch takes besides its text, about
+REMEMBERED = 160 << 20  # bytes of aligned stretches one worker remembers, about
+ENTRY = 250  # bytes a stretch takes besides its text, its links and its groups, about
 
 BLANK_STARTS = re.compile(r"(?<=\S)(?= )")
 MARK = "▁"  # fixed value: stands for a blank in the pieces
@@ -164,9 +165,10 @@ class Aligner:
 
     Neither tokenizer has a token that goes on from a letter to a blank, so a text is
     aligned stretch by stretch.  Should side B have such pieces, texts stay whole.
+    Without ``texts`` groups are counted but not spelled out.
     """
 
-    def __init__(self, a: str, b: str, limit: int = MEMORY):
+    def __init__(self, a: str, b: str, texts: bool = True, limit: int = REMEMBERED):
         import sentencepiece
 
         self.a = Encoder(a, plain_specials=True)
@@ -180,6 +182,7 @@ class Aligner:
         self.sides = [_ByteTable(a_bytes), _ByteTable(b_bytes)]
         self.by_blank = not any(re.search(f"[^{MARK}]{MARK}", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
         self.blank = self.b.piece_to_id(MARK)
+        self.names = list(map(str, range(max(len(a_bytes), len(b_bytes))))) if texts else None
         self.limit = limit
         self.clear()
 
@@ -251,11 +254,11 @@ class Aligner:
         ids = [i[k] for i, k in zip(ids, kept)]
         owner = owners[0][kept[0]]
         ends = [np.cumsum(table.sizes[i]) for table, i in zip(self.sides, ids)]
-        cuts = np.union1d(*ends)
+        cuts = _distinct(np.concatenate(ends))
         left, right = np.searchsorted(ends[0], cuts), np.searchsorted(ends[1], cuts)
         keys = (ids[0][left] << 32) | ids[1][right]
         n_links = np.bincount(owner[left], minlength=n)
-        common = np.intersect1d(*ends)
+        common = ends[0][ends[1][np.minimum(np.searchsorted(ends[1], ends[0]), len(ends[1]) - 1)] == ends[0]] if len(ends[1]) else cuts
         group_owner = owner[np.searchsorted(ends[0], common)]
         n_groups = np.bincount(group_owner, minlength=n)
 
@@ -267,18 +270,29 @@ class Aligner:
         self.stats = np.concatenate([self.stats, stats])
         self.links = np.concatenate([self.links, number[inverse]])
         self.link_stops = np.concatenate([self.link_stops, base + np.cumsum(n_links)])
-        texts = self._group_texts(ids, ends, common)
-        stops = np.cumsum(n_groups).tolist()
-        self.groups += [";".join(texts[i:j]) for i, j in zip([0, *stops], stops)]
-        self.size += ENTRY * n + int(sizes.sum()) + 10 * int(n_links.sum())
-
-    def _group_texts(self, ids, ends, common) -> list[str]:
-        sides = []
-        for i, e in zip(ids, ends):
-            names = list(map(str, i.tolist()))
-            stops = (np.searchsorted(e, common) + 1).tolist()
-            sides.append([",".join(names[j:k]) for j, k in zip([0, *stops], stops)])
-        return [f"{x}|{y}" for x, y in zip(*sides)]
+        if self.names is None:
+            self.groups += [""] * n
+        else:
+            texts = iter(self._group_texts(ids, ends, common, group_owner))
+            self.groups += [next(texts) if k else "" for k in n_groups.tolist()]
+            self.size += 60 * n + 6 * sum(map(len, ids))
+        self.size += ENTRY * n + int(sizes.sum()) + 8 * int(n_links.sum())
+
+    def _group_texts(self, ids, ends, common, owner) -> list[str]:
+        """Groups of each stretch that has some, such as ``1,2|3;4|5``."""
+        group = np.concatenate([np.searchsorted(common, e) for e in ends])
+        side = np.repeat([0, 1], [len(i) for i in ids])
+        order = np.argsort(2 * group + side, kind="stable")
+        group, side, token = group[order], side[order], np.concatenate(ids)[order].tolist()
+        stretch = owner[group]
+        # What follows a token: another of its side and group, the other side, a group, a stretch.
+        after = np.zeros(len(token), np.int64)
+        after[:-1][side[1:] != side[:-1]] = 1
+        after[:-1][group[1:] != group[:-1]] = 2
+        after[:-1][stretch[1:] != stretch[:-1]] = 3
+        marks = map(",|;\n".__getitem__, after.tolist())
+        pieces = [x for pair in zip(map(self.names.__getitem__, token), marks) for x in pair]
+        return "".join(pieces[:-1]).split("\n") if pieces else []
 
     def links_of(self, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pairs linked in the stretches, and the place of each one's stretch."""
@@ -303,10 +317,16 @@ class _ByteTable:
         return self.bytes[np.arange(sizes.sum()) + np.repeat(self.starts[ids] - stops + sizes, sizes)]
 
 
-@lru_cache(maxsize=2)
-def aligner(a: str, b: str) -> Aligner:
-    """The worker's aligner, kept between tasks."""
-    return Aligner(tokenizer_file(a), tokenizer_file(b))
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Sorted and without repetitions; faster than hashing them."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=numbers[:1] - 1) != 0]
+
+
+@lru_cache(maxsize=1)
+def aligner(a: str, b: str, texts: bool) -> Aligner:
+    """The worker's aligner, kept between tasks of a pass."""
+    return Aligner(tokenizer_file(a), tokenizer_file(b), texts)
 
 
 class _Batch:
@@ -326,10 +346,10 @@ class _Batch:
     def document_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, number of a pair)."""
         n = len(self.own.groups) + 1
-        once = np.unique(self.doc * n + self.stretch)
+        once = _distinct(self.doc * n + self.stretch)
         pair, place = self.own.links_of(once % n)
         width = len(self.own.pairs) + 1
-        found = np.unique((once // n)[place] * width + pair)
+        found = _distinct((once // n)[place] * width + pair)
         return found // width, found % width
 
     def sums(self, values: np.ndarray) -> np.ndarray:
@@ -360,7 +380,7 @@ def _count_pairs(a: str, b: str):
     def run(batches):
         import pandas as pd
 
-        own = aligner(a, b)
+        own = aligner(a, b, False)
         part = TaskContext.get().partitionId() << 20
         counts = np.zeros(0, np.int64)
 
@@ -484,7 +504,7 @@ def _look_up(a: str, b: str, shared):
     def run(batches):
         import pandas as pd
 
-        own, table = aligner(a, b), PairCounts(*shared.value)
+        own, table = aligner(a, b, True), PairCounts(*shared.value)
         n = best = np.zeros(0, np.int64)
         for batch in batches:
             found = []
@@ -522,7 +542,7 @@ def _spread_pairs(a: str, b: str):
     def run(batches):
         import pandas as pd
 
-        own = aligner(a, b)
+        own = aligner(a, b, True)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             found = []
