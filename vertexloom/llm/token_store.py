@@ -86,7 +86,7 @@ def write_store(
     def run(batches):
         import pandas as pd
 
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer).each
         end = np.array([end_id], "<u4")
         shard = TaskContext.get().partitionId()
         block, before, parts, owners, offsets = 0, 0, [], [], [0]
@@ -97,8 +97,8 @@ def write_store(
             return pd.DataFrame([row], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for owner, text in zip(batch["doc_id"].array, batch["text"].array):
-                ids = np.concatenate([encode(text), end])
+            for owner, found in zip(batch["doc_id"].array, encode(batch["text"].array)):
+                ids = np.concatenate([found, end])
                 parts.append(ids)
                 owners.append(None if pd.isna(owner) else int(owner))
                 offsets.append(offsets[-1] + len(ids))
