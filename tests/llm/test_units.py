@@ -166,3 +166,43 @@ def test_windows_cover_every_repeated_run():
 def test_digest_of_ids():
     ids = byte_bpe.text_encoder("byte_bpe_50k.tiktoken", None).ids("hello world")
     assert hashlib.sha256(ids.tobytes()).hexdigest() == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_only_letters_are_letters():
+    parts = language_id.split_words(["😀😀", "🎉", "𝒜𝒷", "𠀀字", "a1", "12", "﷽"])
+    assert parts.letters.tolist() == [0, 0, 2, 2, 1, 0, 0]
+
+
+def test_texts_without_blanks_fill_no_memory():
+    """Stretches without blanks are encoded and forgotten, whatever their number."""
+    e = encoder("byte_bpe_50k.json")
+    bpe = byte_bpe.text_encoder("byte_bpe_50k.tiktoken", None)
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200)) for _ in range(2_000)]
+    memories = [e.after_blank, e.other, bpe.first, bpe.rest]
+    before = [m.size for m in memories], [len(m.known) for m in memories]
+    for at in range(0, len(texts), 100):
+        e.batch(texts[at : at + 100])
+        bpe.batch(texts[at : at + 100])
+    assert ([m.size for m in memories], [len(m.known) for m in memories]) == before
+
+
+def test_memory_starts_afresh_beyond_its_limit():
+    from vertexloom.llm.tokenizing import Memory
+
+    made = []
+    memory = Memory(lambda words: [made.append(w) or w.encode() for w in words], limit=2_000)
+    for turn in range(50):
+        words = [f"w{turn}-{i}" for i in range(5)] + ["often", "x" * 1_000]
+        assert memory.of([words, ["often"]]) == [[w.encode() for w in words], [b"often"]]
+        assert memory.size <= 2_000 + 6 * 200 and "x" * 1_000 not in memory.known
+    assert 2 < made.count("often") < 50 and made.count("x" * 1_000) == 50
+
+
+def test_short_texts_are_packed_without_padding():
+    examples = ((i, np.full(3, i, "<u4"), np.ones(3, bool)) for i in range(12_000))
+    sequences = list(packing.pack(examples, packing.Limits(), True))
+    sizes = [sum(len(p.ids) for p in s) for s in sequences]
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes)
+    assert sum(sizes) == 36_000 and padded < 0.05 * 36_000
+    assert max(len(s) for s in sequences) <= 256 and max(sizes) <= 2048

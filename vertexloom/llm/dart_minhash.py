@@ -163,11 +163,12 @@ def near_duplicates(
     bands: Bands = Bands(),
     block: int = BLOCK,
 ) -> DataFrame:
-    """``(doc_id, text_key, class_id)`` for every row of ``docs``.
+    """``(doc_id, text_key, class_id, component)`` for every row of ``docs``.
 
     Documents with the same text are one class; classes whose texts are linked,
     directly or through others, are one as well.  ``class_id`` is the smallest
-    doc_id of the class, null if none of its rows has one.  Null texts are empty,
+    doc_id of the class, null if none of its rows has one; ``component`` names every
+    class, by the key of one of its texts.  Null texts are empty,
     and texts without words are only linked to equal texts.  ``weighted`` lets a
     shingle count as often as it occurs; without it sets of shingles are
     compared.  Other columns of ``docs`` are not read.
@@ -193,8 +194,8 @@ def near_duplicates(
     named = named.withColumn("component", F.coalesce("component", "text_key"))
     named = scratch.save(named, "named")
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = named.join(classes, "component").select("text_key", "class_id")
-    return own.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id")
+    named = named.join(classes, "component").select("text_key", "class_id", "component")
+    return own.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id", "component")
 
 
 def _buckets(own: DataFrame, scratch: Scratch, weighted: bool, bands: Bands) -> DataFrame:

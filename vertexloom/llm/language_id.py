@@ -24,7 +24,8 @@ SMOOTHING = 0.5
 SCRIPT_SHARE = 0.01  # a language uses a script if so many of its words are in it
 WORD_RANGE = 6.0  # one word counts against a language by so much at most
 SWITCH = 12.0  # penalty for a change of language
-MAX_WORDS = 400_000  # words one worker remembers, then it starts afresh
+MEMORY = 64 << 20  # bytes of words one worker remembers, about, then it starts afresh
+ENTRY = 200  # bytes a word takes besides its letters and scores, about
 TOGETHER = 500_000  # characters of texts whose new words are scored at once
 UNKNOWN = "und"
 
@@ -59,7 +60,7 @@ _FIRST = np.array([s[0] for s in SCRIPTS])
 _LAST = np.array([s[1] for s in SCRIPTS])
 _NAMES = [*dict.fromkeys(s[2] for s in SCRIPTS), "Other"]
 _INDEX = np.array([_NAMES.index(s[2]) for s in SCRIPTS])
-_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
+_LETTER = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
 _EDGE = 10  # code of the line feed between words
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -82,7 +83,7 @@ def split_words(words: list[str]) -> WordParts:
     text = "\n" + "\n".join(words).lower() + "\n"
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     edge = codes == _EDGE
-    letter = np.where(codes < 0x10000, _LETTER[np.minimum(codes, 0xFFFF)], True)
+    letter = _LETTER[codes]
     word = np.cumsum(edge) - 1
     letters = np.bincount(word[letter], minlength=len(words) + 1)[: len(words)]
     keep = edge | letter
@@ -181,6 +182,7 @@ class _Words:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.row: dict[str, int] = {}
+        self.size = 0  # bytes, about
         self.scores = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
         self.uses = np.zeros((len(_NAMES) + 1, len(model.languages)), bool)
@@ -200,6 +202,7 @@ class _Words:
         with np.errstate(invalid="ignore"):
             found = np.where(uses.any(axis=1)[:, None], np.maximum(found - top, -WORD_RANGE), 0)
         at = len(self.row)
+        self.size += sum(map(len, words)) * 2 + (ENTRY + 4 * len(self.model.languages)) * len(words)
         self.row.update(zip(words, range(at, at + len(words))))
         room = max(len(self.row), len(self.letters))
         if room > len(self.letters):
@@ -254,7 +257,7 @@ class Labeller:
     def _group(self, texts: list[str]) -> list:
         if not self.model.languages:
             return [(UNKNOWN, 0.0, [])] * len(texts)
-        if len(self.words.row) > MAX_WORDS:
+        if self.words.size > MEMORY:
             self.words = _Words(self.model)
         split, row = [t.split() for t in texts], self.words.row
         new = dict.fromkeys(w for parts in split for w in parts if w not in row)
