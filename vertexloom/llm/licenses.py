@@ -2,12 +2,10 @@
 
 A notice is a line, paragraph or comment that names a licence, and for licence files
 the whole text as well, whatever it says.  Notices and templates are sparse vectors
-of word counts times inverse document frequency over all notices and templates; the
-template with the largest cosine gives the licence if it reaches ``MIN_COSINE``.
-These weights depend on the files: a notice that gets frequent scores lower.  So
-notices without a licence are compared once more by weights taken from the fixed list
-``FIXED`` alone, which are the same for any number of files; paragraphs, comments and
-whole texts without a word of ``NOTICE`` are compared by these only.  A file without a
+of word counts times inverse document frequency over the templates, a fixed list, so
+that a notice has the same score in any number of files; words that no template has
+count as the rarest.  The template with the largest cosine gives the licence if it
+reaches ``MIN_COSINE``.  A file without a
 notice of its own takes the licence of the nearest directory above it that has a
 licence file.
 """
@@ -53,7 +51,7 @@ TEMPLATES = [
 ]
 RESERVED = "Proprietary"  # says no more than that rights are reserved, as other licences do as well
 
-#: Compared by weights of this list alone.
+#: All that notices are compared with, and all that weights are taken from.
 FIXED = [*TEMPLATES, (RESERVED, "All rights reserved"), *licence_templates.names(), *licence_templates.texts()]
 
 COMMENT = r"^[ \t]*(#|//|/?[*]|--|;|%|<!--)"
@@ -70,13 +68,6 @@ def _directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
-def _weights(units: DataFrame, idf: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """``(key, word, weight)`` of the texts in column ``text``, and ``(key, norm)``."""
-    words = units.select(key, F.explode(_words(F.col("text"))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    weights = words.join(idf, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("weight"))
-    return weights, weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-
-
 def _fixed_weights(templates) -> tuple[list, list, float]:
     """``(word, idf)``, ``(word, [(template, license, weight)])`` of length 1, and the idf of all other words."""
     counts = [Counter(re.findall(WORD, text.lower())) for _, text in templates]
@@ -110,7 +101,7 @@ def _fixed_scores(units: DataFrame, templates, min_cosine: float) -> DataFrame:
     return scored.select("unit", (-F.col("b.less")).alias("score"), F.col("b.license").alias("license")).where(F.col("score") >= min_cosine)
 
 
-def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE, templates=TEMPLATES, hot_rows: int = HOT_ROWS, fixed=FIXED) -> DataFrame:
+def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_COSINE, templates=FIXED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``files`` with ``license``, ``score``, ``origin`` and ``license_path``.
 
     ``files`` needs ``path`` and ``text``; columns of these four names are replaced, all others
@@ -118,67 +109,35 @@ def find_licenses(files: DataFrame, scratch: Scratch, min_cosine: float = MIN_CO
     relied on, 0 without one.  Null and empty texts have no notice; a file without a
     path has no directory and inherits nothing.  Equal scores go to the licence that
     is first by name, and among licence files of a directory to the first path.  A
-    reservation of rights found by the fixed weights yields to any other licence.
+    reservation of rights yields to any other licence.
 
     A notice is known by the MD5 of its text, so that the text of a long licence file is not
     repeated with each of its words.  Notices and directories of more than
     ``hot_rows`` files are joined in slices.
     """
-    spark = files.sparkSession
     names = ["license", "score", "origin", "license_path"]
     files = files.drop(*names)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = files.withColumn("__path", F.coalesce("path", F.lit(""))).withColumn("__text", F.xxhash64(text))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(NOTICE))
-    whole = F.when(F.col("__path").rlike(LICENCE_FILE), F.array(text)).otherwise(F.array().cast("array<string>"))
-    plain = lambda x: F.lower(F.trim(x))
-    found = F.when(text.rlike(NOTICE), F.array_distinct(F.transform(F.concat(lines, whole), plain)))
-    marked = F.array_join(F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(COMMENT), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x)), "\n")
-    blocks = F.filter(F.concat(F.split(marked, PARAGRAPH_END, -1), F.split(marked, BLOCK_END, -1)), lambda x: x.rlike(NOTICE))
-    blocks = F.transform(blocks, lambda x: F.regexp_replace(x, "\x01", ""))
-    more = F.array_distinct(F.transform(F.concat(F.when(text.rlike(NOTICE), blocks).otherwise(F.array().cast("array<string>")), whole), plain))
-    more = F.array_except(more, F.coalesce(found, F.array().cast("array<string>")))
-    known = F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("more")))
-    units = keyed.select("__path", "__text", F.explode(F.concat(known, F.transform(more, lambda x: F.struct(x.alias("text"), F.lit(True).alias("more"))))).alias("u"))
-    units = scratch.save(units.select("__path", "__text", "u.*").withColumn("unit", F.md5("text")), "notices")
-    wider = units.where("more")
-    units = units.where("NOT more")
+    none = F.array().cast("array<string>")
+    split = F.split(text, "\n", -1)
+    marked = F.array_join(F.transform(split, lambda x: F.when(x.rlike(COMMENT), F.concat(F.lit("\x01"), x, F.lit("\x01"))).otherwise(x)), "\n")
+    parts = F.concat(split, F.split(marked, PARAGRAPH_END, -1), F.split(marked, BLOCK_END, -1))
+    notices = F.when(text.rlike(NOTICE), F.filter(parts, lambda x: x.rlike(NOTICE))).otherwise(none)
+    whole = F.when(F.col("__path").rlike(LICENCE_FILE), F.array(text)).otherwise(none)
+    plain = F.transform(F.concat(notices, whole), lambda x: F.lower(F.trim(F.regexp_replace(x, "\x01", ""))))
+    units = keyed.select("__path", "__text", F.explode(F.array_distinct(plain)).alias("text"))
+    units = scratch.save(units.withColumn("unit", F.md5("text")), "notices")
 
     # Repeated rows show the same notice once.
     marks = scratch.save(units.select("__path", "__text", "unit").distinct(), "marks")
-    counts = marks.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    distinct = scratch.save(units.select("unit", "text").distinct().join(counts, "unit"), "distinct")
-    known = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, license string, text string")
-    everything = distinct.select("text", "n").unionByName(known.select("text", F.lit(1).cast("long").alias("n")))
-    seen = everything.select("n", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).groupBy("word").agg(F.sum("n").alias("df"))
-    total = everything.agg(F.sum("n").alias("total"))
-    idf = seen.join(F.broadcast(total)).select("word", F.log(1 + F.col("total") / F.col("df")).alias("idf"))  # one row
-    idf = scratch.save(idf, "idf")
-
-    ours, our_norms = _weights(distinct, idf, "unit")
-    theirs, their_norms = _weights(known, idf, "template")
-    theirs = theirs.join(their_norms, "template").join(F.broadcast(known.select("template", "license")), "template")  # a fixed list
-    theirs = theirs.select("template", "license", "word", F.col("weight").alias("w"), F.col("norm").alias("m"))
-    dots = ours.join(theirs, "word").groupBy("unit", "template", "license").agg((F.sum(F.col("weight") * F.col("w")) / F.first("m")).alias("dot"))
-    dots = dots.join(our_norms, "unit").select("unit", "license", (F.col("dot") / F.col("norm")).alias("score"))
-    dots = dots.where(F.col("score") >= min_cosine).withColumn("score", F.round("score", 6))
-    best = dots.groupBy("unit").agg(F.min(F.struct(-F.col("score"), F.col("license"))).alias("b"))
-    best = best.select("unit", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
+    best = _fixed_scores(units.select("unit", "text").dropDuplicates(["unit"]), templates, min_cosine)
     best = scratch.save(best, "best")
-    rest = distinct.join(best, "unit", "left_anti").select("unit", "text").unionByName(wider.select("unit", "text")).dropDuplicates(["unit"])
-    rest = _fixed_scores(rest, fixed, min_cosine).join(best, "unit", "left_anti")
-    best = best.withColumn("fixed", F.lit(False)).unionByName(rest.withColumn("fixed", F.lit(True)))
-    marks = scratch.save(marks.unionByName(wider.select("__path", "__text", "unit").distinct()), "all-marks")
     hot = hottest(marks.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit", hot_rows)
     own = lookup_join(marks, "unit", best, "unit", hot, "__path").groupBy("__path", "__text")
-    less = (-F.col("score")).alias("less")
-    own = own.agg(
-        F.min(F.when(~F.col("fixed"), F.struct(less, "license"))).alias("a"),
-        F.min(F.when(F.col("fixed"), F.struct((F.col("license") == RESERVED).alias("yields"), less, "license"))).alias("f"),
-    )
-    by_fixed = F.col("f").isNotNull() & (F.col("a").isNull() | (~F.col("f.yields") & ((F.col("a.license") == RESERVED) | (F.col("f.less") < F.col("a.less")))))
-    own = own.select("__path", "__text", F.when(by_fixed, F.struct("f.less", "f.license")).otherwise(F.col("a")).alias("b"))
-    own = scratch.save(own.where("b IS NOT NULL").select("__path", "__text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "own")
+    first = F.struct((F.col("license") == RESERVED).alias("yields"), (-F.col("score")).alias("less"), "license")
+    own = own.agg(F.min(first).alias("b"))
+    own = scratch.save(own.select("__path", "__text", F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")), "own")
 
     of_files = own.where(F.col("__path").rlike(LICENCE_FILE)).withColumn("above", _directory(F.col("__path")))
     of_files = of_files.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("license"), F.col("__path"))).alias("b"))

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from vertexloom.llm import url_filter as U
-from vertexloom.llm.licenses import LICENCE_FILE, MIN_COSINE, NOTICE, TEMPLATES, WORD
+from vertexloom.llm.licenses import COMMENT, FIXED, LICENCE_FILE, MIN_COSINE, NOTICE, RESERVED, WORD
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_VALUES = ", ".join(f"({i}, {_text(a)}, {_text(b)})" for i, (a, b) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({i}, {_text(a)}, {_text(b)})" for i, (a, b) in enumerate(FIXED))
 
 LICENSES = f"""
 WITH templates(template, license, text) AS (VALUES {_VALUES}),
+counted AS (
+  SELECT template, any_value(license) AS license, word, count(*) AS n
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), {_text(WORD)})) AS word FROM templates)
+  GROUP BY template, word),
+idf AS (SELECT word, ln(1 + (SELECT count(*) FROM templates) / count(*)) AS idf FROM counted GROUP BY word),
+norms AS (SELECT template, sqrt(sum(n * idf * n * idf)) AS norm FROM counted JOIN idf USING (word) GROUP BY template),
+theirs AS (
+  SELECT template, license, word, n * idf / norm AS w FROM counted JOIN idf USING (word) JOIN norms USING (template)),
 files AS (
   SELECT doc_id, coalesce(text, '') AS text,
     CASE WHEN doc_id % 10000 = 0 THEN concat_ws('/', src, 'LICENSE')
@@ -22,37 +30,39 @@ files AS (
          ELSE concat_ws('/', src, doc_id // 1000, doc_id // 100, doc_id || '.txt') END AS path
   FROM (SELECT *, coalesce(source, 'unknown') AS src FROM documents)),
 lines AS (
-  SELECT path, text, unnest(string_split(text, chr(10))) AS line FROM files
-  UNION ALL SELECT path, text, text FROM files WHERE regexp_matches(path, {_text(LICENCE_FILE)})),
+  SELECT path, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i
+  FROM (SELECT DISTINCT path, text FROM files WHERE regexp_matches(text, {_text(NOTICE)}))),
+flagged AS (
+  SELECT *, regexp_matches(line, {_text(COMMENT)}) AS c, NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AS e FROM lines),
+edges AS (
+  SELECT *, c IS DISTINCT FROM lag(c) OVER w AS turns, coalesce(lag(e) OVER w, false) AS gap
+  FROM flagged WINDOW w AS (PARTITION BY path, text ORDER BY i)),
+numbered AS (
+  SELECT *, count_if(turns) OVER w AS block, count_if(turns OR gap) OVER w AS paragraph
+  FROM edges WINDOW w AS (PARTITION BY path, text ORDER BY i)),
+parts AS (
+  SELECT path, text, line AS part FROM lines
+  UNION ALL SELECT path, text, string_agg(line, chr(10) ORDER BY i) FROM numbered GROUP BY path, text, block
+  UNION ALL SELECT path, text, string_agg(line, chr(10) ORDER BY i) FROM numbered WHERE NOT e GROUP BY path, text, paragraph),
 units AS (
-  SELECT DISTINCT path, text, lower(trim(line, ' ')) AS unit FROM lines WHERE regexp_matches(line, {_text(NOTICE)})),
-counted AS (
-  SELECT unit AS text, count(*) AS n FROM units GROUP BY unit
-  UNION ALL SELECT text, 1 FROM templates),
-seen AS (
-  SELECT word, sum(n) AS df FROM
-    (SELECT n, unnest(list_distinct(regexp_extract_all(lower(text), {_text(WORD)}))) AS word FROM counted)
-  GROUP BY word),
-idf AS (SELECT word, ln(1 + (SELECT sum(n) FROM counted) / df) AS idf FROM seen),
+  SELECT DISTINCT path, text, lower(part) AS unit FROM parts WHERE regexp_matches(part, {_text(NOTICE)})
+  UNION SELECT path, text, lower(text) FROM files WHERE regexp_matches(path, {_text(LICENCE_FILE)})),
 ours AS (
-  SELECT unit, word, count(*) * any_value(idf) AS w
-  FROM (SELECT unit, unnest(regexp_extract_all(unit, {_text(WORD)})) AS word FROM (SELECT DISTINCT unit FROM units))
-  JOIN idf USING (word) GROUP BY unit, word),
-theirs AS (
-  SELECT template, any_value(license) AS license, word, count(*) * any_value(idf) AS v
-  FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), {_text(WORD)})) AS word FROM templates)
-  JOIN idf USING (word) GROUP BY template, word),
+  SELECT unit, word, n * coalesce(idf, ln(1 + (SELECT count(*) FROM templates))) AS w FROM (
+    SELECT unit, word, count(*) AS n
+    FROM (SELECT unit, unnest(regexp_extract_all(unit, {_text(WORD)})) AS word FROM (SELECT DISTINCT unit FROM units))
+    GROUP BY unit, word)
+  LEFT JOIN idf USING (word)),
 our_norms AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM ours GROUP BY unit),
-their_norms AS (SELECT template, sqrt(sum(v * v)) AS norm FROM theirs GROUP BY template),
 dots AS (
-  SELECT unit, template, any_value(license) AS license, sum(w * v) AS dot
-  FROM ours JOIN theirs USING (word) GROUP BY unit, template),
+  SELECT unit, template, any_value(license) AS license, sum(o.w * t.w) AS dot
+  FROM ours o JOIN theirs t USING (word) GROUP BY unit, template),
 scores AS (
-  SELECT unit, license, round(dot / a.norm / b.norm, 6) AS score
-  FROM dots JOIN our_norms a USING (unit) JOIN their_norms b USING (template)
-  WHERE dot / a.norm / b.norm >= {MIN_COSINE}),
+  SELECT unit, arg_min(license, (-round(dot / norm, 6), license)) AS license, max(round(dot / norm, 6)) AS score
+  FROM dots JOIN our_norms USING (unit) GROUP BY unit HAVING max(round(dot / norm, 6)) >= {MIN_COSINE}),
 own AS (
-  SELECT path, text, arg_min(license, (-score, license)) AS license, max(score) AS score
+  SELECT path, text, arg_min(license, (license = {_text(RESERVED)}, -score, license)) AS license,
+    arg_min(score, (license = {_text(RESERVED)}, -score, license)) AS score
   FROM units JOIN scores USING (unit) GROUP BY path, text),
 up AS (
   SELECT regexp_replace(path, '/[^/]*$', '') AS above, arg_min(struct_pack(l := license, s := score, p := path), (-score, license, path)) AS u
