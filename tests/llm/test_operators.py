@@ -343,3 +343,40 @@ def test_stages_take_odd_rows(spark, odd):
         assert out.columns == odd.columns
         assert stage(spark, odd.limit(0), FOLDER).count() == 0
         assert out.count() <= len(ROWS)
+
+
+def test_near_copies_without_ids_leave_one(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join(words + ["more"]), " ".join(words), "something else entirely", None]
+    table = spark.createDataFrame([(None, t, "en", "s", 1) for t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["text"] for r in corpus_pipeline.keep_one_of_each(spark, table, FOLDER).collect()]
+    assert len(kept) == 3 and len([t for t in kept if t and t.startswith("w0")]) == 1
+    named = table.unionByName(table.limit(1).withColumn("doc_id", F.lit(5).cast("long")))
+    kept = corpus_pipeline.keep_one_of_each(spark, named, FOLDER).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 5]
+
+
+def test_loss_bearing_tokens_are_a_limit_of_their_own(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(200):
+        ask, answer = (" ".join(["word"] * int(n)) for n in rng.integers(1, 60, 2))
+        rows.append((i, [(ask, False), (answer, True)] * int(rng.integers(1, 4)), "x"))
+    rows += [(900, None, "x"), (901, [], "x"), (902, [(None, True), None, ("a b", None)], "x"), (None, [("long " * 3000, True)], "x")]
+    table = spark.createDataFrame(rows, "doc_id long, parts array<struct<text: string, loss: boolean>>, length string")
+    limits = packing.Limits(tokens=512, segments=16, loss_tokens=200)
+    found = packing.pack_examples(table.coalesce(1), limits=limits).collect()
+    by_sequence, by_document = {}, {}
+    for r in found:
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+        by_document.setdefault(r["doc_id"], []).append(r)
+    for pieces in by_sequence.values():
+        assert sum(p["length"] for p in pieces) <= 512 and len(pieces) <= 16 and sum(p["loss_tokens"] for p in pieces) <= 200
+    near = [sum(p["loss_tokens"] for p in pieces) for pieces in by_sequence.values()]
+    assert np.mean([n > 180 for n in near]) > 0.8  # the limit that ends most sequences
+    for i, parts, _ in rows[:200]:
+        loss = sum(len(t.split()) for t, marked in parts if marked) + 1
+        assert sum(p["loss_tokens"] for p in by_document[i]) == loss
+        assert len(by_document[i]) == 1 or loss > 200
+    assert [p["length"] for p in by_document[900] + by_document[901]] == [1, 1]
+    assert by_document[902][0]["loss_tokens"] == 0 and sum(p["length"] for p in by_document[None]) > 3000
