@@ -59,7 +59,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = docs.withColumn("__md5", text)
     same = (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.col("__md5") == F.col("__key"))
     kept = own.join(stays, same, "left_semi")
-    nameless = found.where("doc_id IS NULL").select(F.col("text_key").alias("__key")).distinct()
+    # A class without any id keeps the first of its texts by key.
+    nameless = found.where("class_id IS NULL").groupBy("component").agg(F.min("text_key").alias("__key")).select("__key")
     kept = kept.unionByName(own.where("doc_id IS NULL").join(nameless, F.col("__md5") == F.col("__key"), "left_semi"))
     return kept.dropDuplicates(["doc_id", "__md5"]).select(*columns)
 
