@@ -142,5 +142,5 @@ def test_late_rounds_of_strong_components_read_few_links(spark, monkeypatch):
     pairs = list(zip(ring, ring[1:] + ring[:1]))
     graph = make_graph(spark, ring, pairs)
     assert set(as_dict(graph.strongly_connected_components()).values()) == {"r000"}
-    assert read[0] == 50 and min(read) < 25 and read[-1] < read[0]
+    assert read and max(read) <= 25 and read[-1] < read[0]
     graph.release()

@@ -10,7 +10,7 @@ by a shuffle as in any round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.scratch import Scratch
@@ -40,9 +40,17 @@ class KeyedState:
         self.recent: DataFrame | None = None
         self._rebase(rows)
 
-    def _rebase(self, rows: DataFrame) -> None:
-        saved, self.n_rows = self.scratch.save_counted(rows.sortWithinPartitions(self.key), self.name)
-        self._saved, self.base = saved, saved.persist()
+    def _rebase(self, rows: DataFrame, **aggregates: Column) -> dict:
+        saved, seen = self.scratch.save_observed(
+            rows.sortWithinPartitions(self.key), self.name, n=F.count(F.lit(1)), **aggregates
+        )
+        self._saved, self.base, self.n_rows = saved, saved.persist(), seen["n"]
+        return seen
+
+    def few_of(self, n: int) -> bool:
+        """Whether a round that starts from ``n`` rows is better done by looking them up
+        than by writing all rows anew."""
+        return n <= self.few and 2 * n <= self.n_rows
 
     def all(self) -> DataFrame:
         if self.recent is None:
@@ -72,13 +80,14 @@ class KeyedState:
             rows = self.all().join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
         self.replace(rows)
 
-    def replace(self, rows: DataFrame) -> None:
-        """Put other rows in place of all."""
+    def replace(self, rows: DataFrame, **aggregates: Column) -> dict:
+        """Put other rows in place of all; returns what the write observes of them."""
         saved, base = self._saved, self.base
-        self._rebase(rows)
+        seen = self._rebase(rows, **aggregates)
         self.recent = None
         base.unpersist()
         self.scratch.drop(saved)
+        return seen
 
     def release(self) -> None:
         self.base.unpersist()

@@ -202,13 +202,15 @@ def _by_push(
             i += 1
             # Untouched vertices have passed on what exceeded the tolerance before.
             senders = touched.where(above).select("v", "residual")
-            moved, n_moved = scratch.save_counted(_pushed(edges, senders, n_senders, reset, few), "moved")
-            current = state.at(moved, n_moved).select(
-                "v",
-                (F.col("rank") + F.col("gained")).alias("rank"),
-                (F.col("residual") + F.col("more")).alias("residual"),
+            moved = _pushed(edges, senders, n_senders, reset, few)
+            if not state.few_of(n_senders):
+                n_senders = state.replace(_moved(state.all().join(moved, "v", "left")), senders=F.count_if(above))["senders"]
+                touched = state.base
+                continue
+            moved, n_moved = scratch.save_counted(moved, "moved")
+            touched, seen = scratch.save_observed(
+                _moved(state.at(moved, n_moved)), "touched", n=F.count(F.lit(1)), senders=F.count_if(above)
             )
-            touched, seen = scratch.save_observed(current, "touched", n=F.count(F.lit(1)), senders=F.count_if(above))
             n_senders = seen["senders"]
             state.put(touched, seen["n"])
             scratch.drop(moved)
@@ -218,6 +220,15 @@ def _by_push(
         state.release()
 
 
+def _moved(state: DataFrame) -> DataFrame:
+    """State after what a push changes, which stands beside it."""
+    return state.select(
+        "v",
+        (F.col("rank") + F.coalesce("gained", F.lit(0.0))).alias("rank"),
+        (F.col("residual") + F.coalesce("more", F.lit(0.0))).alias("residual"),
+    )
+
+
 def _pushed(
     edges: RoundTable, senders: DataFrame, n_senders: int, reset: float, few: int
 ) -> DataFrame:

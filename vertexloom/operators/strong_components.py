@@ -153,10 +153,10 @@ def _settle(links: RoundTable, labels: KeyedState, scratch: Scratch, hot_rows: i
     while n_changed:
         rounds += 1
         leaps = rounds > ROUNDS_BEFORE_LEAPS
-        if n_changed > labels.few:
-            labels.replace(_full_round(links, labels.all(), changed, leaps, labels.n_rows, hot_rows))
+        if not labels.few_of(n_changed):
+            following = _full_round(links, labels.all(), changed, leaps, labels.n_rows, hot_rows)
+            n_changed = labels.replace(following, changed=F.count_if("changed"))["changed"]
             changed = labels.base.where("changed")
-            n_changed = changed.count()
             continue
         offers = _offers(links, changed, n_changed, True)
         if leaps:
