@@ -50,7 +50,7 @@ class KeyedState:
     def few_of(self, n: int) -> bool:
         """Whether a round that starts from ``n`` rows is better done by looking them up
         than by writing all rows anew."""
-        return n <= self.few and 2 * n <= self.n_rows
+        return n <= self.few and 4 * n <= self.n_rows
 
     def all(self) -> DataFrame:
         if self.recent is None:
