@@ -149,3 +149,33 @@ def scanned(df):
         else:
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return total
+
+
+@pytest.mark.parametrize("params", [{}, {"max_iter": 1}, {"max_iter": 2}, {"reset": 0.5, "tol": 1e-6}, {"tol": 0.9}, {"tol": 0.05}])
+def test_rounds_over_inner_edges_give_the_same_ranks(spark, monkeypatch, params):
+    """Leaves beside a hub, cycles, chains and a vertex that nothing leads to."""
+    ids, pairs = hub_graph()
+    leaves = [f"leaf{n}" for n in range(40)]
+    pairs = [*pairs, *((ids[n % 30], leaf) for n, leaf in enumerate(leaves * 5)), ("alone", "leaf1"), ("leaf2", "missing")]
+    whole = []
+    keep = pagerank_module._without_leaves
+
+    def kept(edges, *rest):
+        whole.append((edges.rows.count(), (inner := keep(edges, *rest)).rows.count()))
+        return inner
+
+    monkeypatch.setattr(pagerank_module, "LEAVES_FROM", 1)
+    monkeypatch.setattr(pagerank_module, "_without_leaves", kept)
+    graph = make_graph(spark, [*ids, *leaves], pairs)
+    expected = {("rounds" if k == "max_iter" else k): v for k, v in params.items()}
+    close(as_dict(graph.pagerank(**params)), page_ranks([*ids, *leaves], pairs, **expected))
+    assert whole[0][1] < whole[0][0] / 2
+    graph.release()
+
+
+def test_moves_by_rounding_do_not_count(spark):
+    """The last digits of these ranks go round the cycle for ever."""
+    ids = [f"n{i}" for i in range(5)]
+    pairs = [(ids[i], ids[(i + 1) % 5]) for i in range(5)] + [("n0", "n3"), ("n2", "n0"), ("n3", "n2")]
+    found = as_dict(make_graph(spark, ids, pairs).pagerank(reset=0.8, tol=1e-17, max_iter=30))
+    close(found, page_ranks(ids, pairs, reset=0.8, rounds=30))
