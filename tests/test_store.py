@@ -289,3 +289,38 @@ def test_tables(spark, tmp_path):
     assert spark.table("lab.outside").count() == 6
     assert spark.table("lab.edges").count() == 0
     spark.sql("DROP DATABASE lab CASCADE")
+
+
+def test_a_bucket_is_dealt_over_several_tasks(spark, tmp_path):
+    """As many as a shuffle has, so that no task has to hold a bucket of any size."""
+    vertices = spark.range(400).select(
+        F.lit(None).cast("string").alias("timestamp"), F.lit("big").alias("datasource"), F.concat(F.lit("v"), "id").alias("id"),
+        F.lit("node").alias("label"), F.array().cast("array<struct<key:string,type:string,value:string>>").alias("properties"),
+    )
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        store = GraphStore(spark, str(tmp_path / "shares"), buckets=2)
+        for write in (store.merge, store.replace):
+            write(vertices, "big", "v")
+            read = store.read("big", "v").select("id", F.input_file_name().alias("file")).collect()
+            assert len(read) == len({r.id for r in read}) == 400
+            assert len({r.file for r in read}) > 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_partitioned_table_is_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """A task keeps a file open per partition; the setting is put back afterwards."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    name, seen, save = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, *a: (seen.append(spark.conf.get(name)), save(self, *a)))
+    before = spark.conf.get(name)
+    catalog.save_as_table(sample_graph(spark).edges, "unsorted_edges", str(tmp_path / "t"), ["label"])
+    assert seen == [str(catalog.OPEN_FILES)] and spark.conf.get(name) == before
+    assert spark.table("unsorted_edges").count() == sample_graph(spark).edges.count()
+    spark.sql("DROP TABLE unsorted_edges")
