@@ -143,3 +143,26 @@ def test_hot_ends_are_found_in_one_pass(spark):
     assert [tuple(r) for r in hot["src"].collect()] == [("a", 2)]
     assert [tuple(r) for r in hot["dst"].collect()] == [("e", 2)]
     assert skew.find_hot_of(rows, ["src", "dst"], 6, 6) == {"src": None, "dst": None}
+
+
+def test_only_hot_groups_are_searched_for_keys(spark, monkeypatch):
+    """Counting all keys would move every one of them; groups are a few numbers per task."""
+    rows, _ = rows_and_table(spark)
+    searched, hottest = [], skew.hottest
+    monkeypatch.setattr(skew, "hottest", lambda *a: searched.append(a) or hottest(*a))
+    assert find_hot(rows, "x", 1000, 50) is None and not searched
+    assert sorted(r.hot_key for r in find_hot(rows, "k", 1000, 200).collect()) == [0] and len(searched) == 1
+
+
+def test_long_tables_are_held_in_memory_by_share(spark, monkeypatch, without_broadcast):
+    monkeypatch.setattr(skew, "HASHED_KEYS", 1)
+    rows, table = rows_and_table(spark)
+    for how in ("inner", "left", "left_semi"):
+        plain = rows.join(table, F.col("k") == F.col("key"), how).drop("key")
+        for hot_rows in (50, 1000):
+            found = lookup_join(rows, "k", table, "key", find_hot(rows, "k", 1000, hot_rows), "x", how, 8)
+            assert sorted(found.collect(), key=str) == sorted(plain.collect(), key=str)
+            assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(skew, "KEYS_PER_TASK", 1)
+    few = lookup_join(rows, "k", table, "key", None, "x", n_keys=8)
+    assert "ShuffledHashJoin" not in few._jdf.queryExecution().executedPlan().toString()
