@@ -206,3 +206,31 @@ def test_short_texts_are_packed_without_padding():
     padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes)
     assert sum(sizes) == 36_000 and padded < 0.05 * 36_000
     assert max(len(s) for s in sequences) <= 256 and max(sizes) <= 2048
+
+
+def test_a_word_is_not_encoded_again_with_a_line_break_beside_it():
+    """Words end at line breaks as well, and ids are those of whole texts (op6_packing)."""
+    from tokenizers import Tokenizer
+
+    from vertexloom.llm.common import tokenizer_file
+    from vertexloom.llm.tokenizing import Encoder
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    library, e = Tokenizer.from_file(path), Encoder(path)
+    given, whole = [], e.chunks
+    e.chunks = lambda chunks: given.extend(chunks) or whole(chunks)
+    e.batch(["a qwerty\nqwerty Zürich\nqwerty"])
+    assert set(given) == {" qwerty", " Zürich", "\nqwerty"}
+    texts = [
+        "a qwerty, qwerty. qwerty\nqwerty! Zürich?\nZürich\nit's, it's) 42.",
+        "x², x²\n日本, a¹. é́, ñ̸= qwerty'. 'll, '. ,a .\na",
+        "a\n\nb,\n\n\nc. \nd\r\ne\n f\n", "\na.\n", "a,\n", " \n", "\n", "a \n", "a\t\nb \n\n c.", "a \nb  c　 d",
+        "a... b.. c... _a_, a_. a\u0085\nb a  b",
+    ]
+    for text in texts:
+        assert e.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+    rng = random.Random(3)
+    alphabet = ["a", "B", "é", "7", "²", " ", "\n", ",", ".", "'", "s", "_", "\t", "\r", " ", "日", "́", "\x1c", "“", "*"]
+    for _ in range(4_000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(1, 14)))
+        assert e.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -74,36 +74,42 @@ def pack(
     limits, as it fits nowhere else.
     """
     pool: list[Piece] = []
-    sizes = np.zeros((0, 3))
+    table = np.zeros((pool_size + 1, 3))  # sizes of the pieces in the pool
+    shares = np.zeros((pool_size + 1, 3))  # the same as shares of the limits
     cap = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
 
     def size(p: Piece) -> np.ndarray:
-        return np.array([len(p.ids), 1, p.loss.sum()], float)
+        return np.array([len(p.ids), 1, np.count_nonzero(p.loss)], float)
 
     def fitting(p: Piece, tokens: float, loss: float) -> int:
         """Length of the longest beginning of ``p`` within both amounts."""
+        bearing = np.count_nonzero(p.loss)
+        if bearing <= loss:
+            return int(min(len(p.ids), tokens))
+        if bearing == len(p.ids):
+            return int(min(tokens, loss))
         by_loss = np.searchsorted(np.cumsum(p.loss), loss, side="right")
         return int(min(len(p.ids), tokens, by_loss))
 
-    def add(pieces: list[Piece]) -> None:
-        nonlocal sizes
-        pool.extend(pieces)
-        sizes = np.vstack([sizes, *[size(p)[None] for p in pieces]])
+    def add(piece: Piece) -> None:
+        table[len(pool)] = size(piece)
+        shares[len(pool)] = table[len(pool)] / cap
+        pool.append(piece)
 
     def take(i: int) -> Piece:
         """Remove piece ``i``; the last one moves to its place."""
-        nonlocal sizes
-        piece = pool[i]
-        pool[i] = pool[-1]
-        sizes[i] = sizes[-1]
+        piece, last = pool[i], len(pool) - 1
+        pool[i] = pool[last]
+        table[i] = table[last]
+        shares[i] = shares[last]
         pool.pop()
-        sizes = sizes[:-1]
         return piece
 
     def next_sequence() -> list[Piece]:
         room, chosen = cap.copy(), []
         while pool and room[0] > 0 and room[1] > 0:
-            fits = (sizes <= room).all(axis=1)
+            sizes = table[: len(pool)]
+            fits = (sizes[:, 0] <= room[0]) & (sizes[:, 1] <= room[1]) & (sizes[:, 2] <= room[2])
             if not fits.any():
                 if not cut:
                     break
@@ -112,14 +118,14 @@ def pack(
                 if at == 0:
                     break
                 head, tail = take(donor).cut(at)
-                add([tail])
+                add(tail)
                 chosen.append(head)
                 room -= size(head)
                 continue
-            gain = np.where(fits, (sizes / cap) @ (room / cap), -1.0)
-            piece = take(int(np.argmax(gain)))
-            chosen.append(piece)
-            room -= size(piece)
+            gain = np.where(fits, shares[: len(pool)] @ (room / cap), -1.0)
+            best = int(np.argmax(gain))
+            room -= sizes[best]
+            chosen.append(take(best))
         return chosen
 
     def finished(sequence: list[Piece]) -> Iterator[list[Piece]]:
@@ -136,7 +142,7 @@ def pack(
         if len(rest.ids) == limits.tokens:
             yield [rest]
         elif len(rest.ids):
-            add([rest])
+            add(rest)
         while len(pool) >= pool_size:
             yield from finished(next_sequence())
     while pool:

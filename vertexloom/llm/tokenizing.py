@@ -31,8 +31,8 @@ PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 )
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*")
-BLANK_AFTER_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-BLANK_AFTER_ASCII = [pair for pair in BLANK_AFTER_SPACE if pair.isascii()]
+SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+ASCII_SPACES = [c for c in SPACES if c.isascii()]
 WORD_STARTS = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
@@ -43,10 +43,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+def after_space(text: str, what: str) -> bool:
+    """Whether ``what`` follows white space anywhere in the text."""
+    spaces = ASCII_SPACES if text.isascii() else SPACES
+    return any(c in text and c + what in text for c in spaces)  # one letter is found faster than two
+
+
 def blanks_alone(text: str) -> bool:
     """Whether every blank of the text follows something other than white space."""
-    pairs = BLANK_AFTER_ASCII if text.isascii() else BLANK_AFTER_SPACE
-    return not any(pair in text for pair in pairs)
+    return not after_space(text, " ")
 
 
 def text_batches(texts: Iterable[str | None]) -> Iterator[list[str]]:
@@ -130,13 +135,14 @@ class Encoder:
         # The library's model on pieces that are cut already, divided by a letter no piece has.
         self.divider = self.letters[0]
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # words come here once, so its own cache would be asked in vain
         self.pieces_only = Tokenizer(self.model)
         self.pieces_only.pre_tokenizer = CharDelimiterSplit(self.divider)
         self.tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.token_length = np.zeros(max(self.tokens.values(), default=0) + 1, np.int64)
         for token, i in self.tokens.items():
             self.token_length[i] = len(token)
-        self.after_blank = Memory(lambda words: self.chunks([" " + w for w in words]), limit=limit)
+        self.after_blank = Memory(self._after_blanks, limit=limit)
         self.other = Memory(self.chunks, limit=limit)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -178,6 +184,10 @@ class Encoder:
             for c, p, r in zip(chunks, plain, row)
         ]
 
+    def _after_blanks(self, words: list[str]) -> list[bytes]:
+        """Ids of words and the blank before them; a line break stands instead of one."""
+        return self.chunks([w if w[:1] == "\n" else " " + w for w in words])
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian uint32."""
         special, heads, rests = [], [], []
@@ -185,8 +195,8 @@ class Encoder:
             if self.special is not None and self.special.search(text):
                 special.append(text)
                 heads.append(None)
-            elif blanks_alone(text):
-                parts = text.split(" ")
+            elif " \n" not in text and blanks_alone(text):
+                parts = (text if after_space(text, "\n") else text.replace("\n", " \n")).split(" ")
                 heads.append(parts[:1])
                 rests.append(parts[1:])
             else:
