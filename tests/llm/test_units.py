@@ -234,3 +234,51 @@ def test_a_word_is_not_encoded_again_with_a_line_break_beside_it():
     for _ in range(4_000):
         text = "".join(rng.choices(alphabet, k=rng.randrange(1, 14)))
         assert e.batch([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_match_goes_to_the_library_once_a_batch():
+    """The same word with other marks beside it is not encoded again (op6_packing)."""
+    from tokenizers import Tokenizer
+
+    from vertexloom.llm.common import tokenizer_file
+    from vertexloom.llm.tokenizing import Encoder
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    e, given = Encoder(path), []
+
+    class Recorder:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts):
+            given.extend(m for t in texts for m in t.split(e.divider))
+            return self.model.encode_batch_fast(texts)
+
+    e.pieces_only = Recorder(e.pieces_only)
+    texts = ["a qwerty, qwerty. qwerty!", "b qwerty", None, "", "a  qwerty? qwerty\n", "c "] * 3
+    library = Tokenizer.from_file(path)
+    assert [x.tolist() for x in e.each(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rest = [m for m in given if m.endswith("qwerty")]
+    assert len(rest) <= 2  # after blanks, and in the texts of double blanks
+
+
+def test_a_worker_gives_back_what_it_no_longer_needs():
+    """Rare words of a task stay in no memory of its worker (pipeline, op6_packing)."""
+    import re
+    from pathlib import Path
+
+    from vertexloom.llm.common import tokenizer_file
+    from vertexloom.llm.tokenizing import Encoder
+
+    def megabytes():
+        return int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("needs Linux")
+    e, rng = Encoder(tokenizer_file("byte_bpe_50k.json")), random.Random(5)
+    list(e.each(["some words", "others"]))
+    texts = (" ".join(f"{rng.getrandbits(40):x}" for _ in range(1_000)) for _ in range(500))
+    before = megabytes()
+    for _ in e.each(texts):
+        pass
+    assert megabytes() - before < 50

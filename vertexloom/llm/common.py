@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,19 @@ def fair_share(df: DataFrame, n_rows: int, least: int = 1_000) -> int:
     return max(least, -(-n_rows // partitions))
 
 
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the system.
+
+    Workers stay when their task has ended, and the allocators keep what was freed.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x):
     """Scramble an array of uint64 hashes (a bijection of 64-bit numbers)."""
     import numpy as np

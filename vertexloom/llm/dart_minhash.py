@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import mix64
+from vertexloom.llm.common import mix64, release_memory
 from vertexloom.operators.components import connected_components
 from vertexloom.operators.index import index_graph
 from vertexloom.operators.scratch import Scratch
@@ -218,6 +218,7 @@ def _buckets(own: DataFrame, scratch: Scratch, weighted: bool, bands: Bands) ->
             if sets:
                 found.extend(band_hashes(x, bands) for x in signatures(sets, bands.coordinates))
             yield pd.DataFrame({"node": pd.Series(keys, dtype=object), "bands": pd.Series(found, dtype=object)})
+        release_memory()
 
     signed = own.select("text_key", "text").mapInPandas(sign, "node string, bands array<long>")
     signed = signed.groupBy("node").agg(F.first("bands").alias("bands"))  # equal for equal texts

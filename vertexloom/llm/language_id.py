@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.llm.common import mix64, sampled, trainable
+from vertexloom.llm.common import mix64, release_memory, sampled, trainable
 
 SAMPLE_DOCS = 3_000  # training documents of each language, about
 BUCKETS = 1 << 16  # hashed letter groups
@@ -156,6 +156,7 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageMo
                 if len(at):
                     yield pd.DataFrame({"lang": language, "script": "", "bucket": at, "n": groups[at]})
                     yield pd.DataFrame({"lang": language, "script": list(scripts), "bucket": -1, "n": list(scripts.values())})
+        release_memory()
 
     found = own.where(chosen).select("lang", "text").mapInPandas(count, "lang string, script string, bucket int, n long")
     totals = found.groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a language at most
@@ -312,5 +313,7 @@ def language_labels(docs: DataFrame, model: LanguageModel, text: str = "text", s
                     "spans": [[{"lang": s[0], "first": s[1], "last": s[2]} for s in r[2]] for r in rows],
                 }
             )
+        del labeller
+        release_memory()
 
     return label(F.col(text).cast("string"))

@@ -2,9 +2,10 @@
 
 Text between two blanks is encoded independently of its surroundings: the
 tokenizer's pattern never matches across the start of a blank that follows
-something other than white space.  A worker therefore keeps the ids of the words
-it has seen and runs the library on the new words of a batch of texts, all in one
-call.  Texts with the strings of special tokens go to the library whole.
+something other than white space.  A worker therefore encodes each distinct word
+of a large batch of texts once, and of these each distinct match of the pattern
+once.  It keeps the ids of words that are frequent in a batch.  Texts with the
+strings of special tokens go to the library whole.
 
 What is kept is bounded by its size in memory, and long stretches without blanks
 are never kept.
@@ -19,12 +20,15 @@ from functools import lru_cache
 
 import numpy as np
 
-from vertexloom.llm.common import tokenizer_file
+from vertexloom.llm.common import release_memory, tokenizer_file
 
-MEMORY = 192 << 20  # bytes one memory of words may take, about; then it starts afresh
+MEMORY = 48 << 20  # bytes one memory of words may take, about; then it starts afresh
 LONGEST = 64  # characters of the longest stretch that is remembered
 ENTRY = 170  # bytes an entry takes besides its content, about
 BATCH_CHARS = 1 << 20  # texts handled at once have so many characters, or are one text
+ENCODED_CHARS = 6 << 20  # the same for the encoder
+FREQUENT = 4  # words that occur so often in a batch are remembered
+MATCHES = 100_000  # matches of the pattern the library gets in one call
 
 #: The public pattern in the syntax of ``re``; the two agree on the characters of PLAIN.
 PIECES = re.compile(
@@ -33,6 +37,8 @@ PIECES = re.compile(
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*")
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 ASCII_SPACES = [c for c in SPACES if c.isascii()]
+#: Chunks of such characters that start with white space and end in something else.
+IN_ROW = re.compile(r"[\n ][\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*[!-~À-ÖØ-öø-ÿŒœŠšŽžŸ]")
 WORD_STARTS = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
@@ -54,14 +60,14 @@ def blanks_alone(text: str) -> bool:
     return not after_space(text, " ")
 
 
-def text_batches(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    """Texts, null ones empty, in lists of about BATCH_CHARS characters."""
+def text_batches(texts: Iterable[str | None], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
+    """Texts, null ones empty, in lists of about ``chars`` characters."""
     batch, size = [], 0
     for text in texts:
         text = text if isinstance(text, str) else ""
         batch.append(text)
         size += len(text) + 1
-        if size >= BATCH_CHARS:
+        if size >= chars:
             yield batch
             batch, size = [], 0
     if batch:
@@ -116,6 +122,25 @@ class Memory:
         return found
 
 
+def _distinct(words) -> tuple[list[str], np.ndarray]:
+    """The distinct ones of an Arrow array of words, and which of them stands at each place."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
+
+def _at_places(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words place by place, from those of the distinct words; where each place stops, behind a 0."""
+    starts, of_place = np.cumsum(lengths) - lengths, lengths[at]
+    stops = np.concatenate([[0], np.cumsum(of_place)])
+    return ids[np.repeat(starts[at] - stops[:-1], of_place) + np.arange(stops[-1])], stops
+
+
+def _byte_sizes(raw: bytes) -> np.ndarray:
+    """Sizes of what bytes 0 divide."""
+    zeros = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0)
+    return np.diff(zeros, prepend=-1, append=len(raw)) - 1
+
+
 class Encoder:
     """``batch(texts)`` equals the library's ``encode(text, add_special_tokens=False)``.
 
@@ -130,6 +155,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.letters = byte_letters()
+        self.letter_codes = np.array([ord(self.letters[b]) for b in range(256)], "<u4")
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special and not plain_specials else None
         # The library's model on pieces that are cut already, divided by a letter no piece has.
@@ -149,40 +175,53 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _cut(self, pieces: list[str], sizes: list[int]) -> list[bytes]:
+    def _encode_matches(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the pattern side by side, and how many each has: one call of the model."""
+        # The byte 0 stands between matches, and its letter is the divider.
+        raw = "\0".join(pieces).encode()
+        mapped = self.letter_codes[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.pieces_only.encode_batch_fast([mapped])[0].ids, "<u4")
+        return ids, np.diff(self._stops(ids, _byte_sizes(raw)), prepend=0)
+
+    def _stops(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where stretches of ``sizes`` bytes side by side end among their ids."""
+        return np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(sizes)) + 1
+
+    def _cut(self, pieces: list[str], sizes: np.ndarray) -> list[bytes]:
         """Ids of stretches of ``sizes`` bytes, given as matches of the pattern.
 
-        The model encodes all matches in one call; tokens are dealt out by length.
+        Each distinct match is encoded once; tokens are dealt out by length.
         """
-        if not sizes:
+        import pyarrow as pa
+
+        if not pieces:
             return []
-        # The byte 0 stands between matches, and its letter is the divider.
-        mapped = "\0".join(pieces).encode().decode("latin-1").translate(self.letters)
-        ids = np.array(self.pieces_only.encode_batch_fast([mapped])[0].ids, "<u4")
-        stops = np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(sizes)) + 1
-        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        distinct, at = _distinct(pa.array(pieces, pa.large_string()))
+        found = [self._encode_matches(distinct[i : i + MATCHES]) for i in range(0, len(distinct), MATCHES)]
+        ids, _ = _at_places(*map(np.concatenate, zip(*found)), at)
+        raw, stops = ids.tobytes(), (4 * self._stops(ids, sizes)).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of stretches of text, each by itself.
 
-        Those that start with a blank and end in something else are split by the
-        pattern side by side, as no match goes on from one to the next.
+        Those that start with a blank or line break and end in something else are split
+        by the pattern side by side, as no match goes on from one to the next.
         """
-        plain = [(c.isascii() and c.isprintable()) or PLAIN.fullmatch(c) is not None for c in chunks]
-        row = [ok and c[:1] == " " and not c[-1].isspace() for c, ok in zip(chunks, plain)]
-        together = [c for c, ok in zip(chunks, row) if ok]
-        found = iter(self._cut(PIECES.findall("".join(together)), [len(c.encode()) for c in together]))
+        row = list(map(IN_ROW.fullmatch, chunks))
+        together = chunks if all(row) else [c for c, r in zip(chunks, row) if r]
+        found = self._cut(PIECES.findall("".join(together)), _byte_sizes("\0".join(together).encode()) if together else ())
         if len(together) == len(chunks):
-            return list(found)
-        apart = [c for c, p, r in zip(chunks, plain, row) if p and c and not r]
+            return found
+        rest = [c for c, r in zip(chunks, row) if not r]
+        plain = [PLAIN.fullmatch(c) is not None for c in rest]
+        apart = [c for c, p in zip(rest, plain) if p and c]
         matches = [m for c in apart for m in PIECES.findall(c)]
         single = iter(self._cut(matches, [len(c.encode()) for c in apart]))
-        whole = iter(self._whole([c for c, ok in zip(chunks, plain) if not ok]))
-        return [
-            b"" if not c else next(found) if r else next(single) if p else next(whole)
-            for c, p, r in zip(chunks, plain, row)
-        ]
+        whole = iter(self._whole([c for c, p in zip(rest, plain) if not p]))
+        others = iter([b"" if not c else next(single) if p else next(whole) for c, p in zip(rest, plain)])
+        found = iter(found)
+        return [next(found) if r else next(others) for r in row]
 
     def _after_blanks(self, words: list[str]) -> list[bytes]:
         """Ids of words and the blank before them; a line break stands instead of one."""
@@ -192,29 +231,45 @@ class Encoder:
         """Ids of each text, as little-endian uint32."""
         special, heads, rests = [], [], []
         for text in texts:
+            rests.append(None)
             if self.special is not None and self.special.search(text):
                 special.append(text)
                 heads.append(None)
             elif " \n" not in text and blanks_alone(text):
-                parts = (text if after_space(text, "\n") else text.replace("\n", " \n")).split(" ")
-                heads.append(parts[:1])
-                rests.append(parts[1:])
+                head, blank, rest = (text if after_space(text, "\n") else text.replace("\n", " \n")).partition(" ")
+                heads.append([head])
+                rests[-1] = rest if blank else None
             else:
                 heads.append(WORD_STARTS.split(text))
-                rests.append([])
         first = iter(self.other.of([h for h in heads if h is not None]))
-        rest = iter(self.after_blank.of(rests))
         whole = iter(self._whole(special))
-        raw = [next(whole) if h is None else b"".join([*next(first), *next(rest)]) for h in heads]
-        return [np.frombuffer(r, "<u4") for r in raw]
+        begin = [np.frombuffer(next(whole) if h is None else b"".join(next(first)), "<u4") for h in heads]
+        return [np.concatenate(x) if len(x[1]) else x[0] for x in zip(begin, self._words_ids(rests))]
+
+    def _words_ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of words divided by blanks, with the blanks before them; none for a null."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        distinct, at = _distinct(words.flatten())
+        often = (np.bincount(at, minlength=len(distinct)) >= FREQUENT).tolist()
+        kept = iter(self.after_blank.of([[w for w, o in zip(distinct, often) if o]])[0])
+        others = iter(self._after_blanks([w for w, o in zip(distinct, often) if not o]))
+        raw = [next(kept) if o else next(others) for o in often]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids, stops = _at_places(np.frombuffer(b"".join(raw), "<u4"), lengths, at)
+        return np.split(ids, stops[np.cumsum(counts)[:-1]])
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.batch([text or ""])[0]
 
     def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of texts one by one, encoded in batches of bounded size."""
-        for batch in text_batches(texts):
+        for batch in text_batches(texts, ENCODED_CHARS):
             yield from self.batch(batch)
+        release_memory()
 
 
 @lru_cache(maxsize=4)
