@@ -26,9 +26,9 @@ MEMORY = 48 << 20  # bytes one memory of words may take, about; then it starts a
 LONGEST = 64  # characters of the longest stretch that is remembered
 ENTRY = 170  # bytes an entry takes besides its content, about
 BATCH_CHARS = 1 << 20  # texts handled at once have so many characters, or are one text
-ENCODED_CHARS = 6 << 20  # the same for the encoder
+ENCODED_CHARS = 1 << 22  # the same for the encoder
 FREQUENT = 4  # words that occur so often in a batch are remembered
-MATCHES = 100_000  # matches of the pattern the library gets in one call
+MATCHES = 10_000  # matches of the pattern the library gets in one call
 
 #: The public pattern in the syntax of ``re``; the two agree on the characters of PLAIN.
 PIECES = re.compile(
@@ -267,9 +267,11 @@ class Encoder:
 
     def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of texts one by one, encoded in batches of bounded size."""
-        for batch in text_batches(texts, ENCODED_CHARS):
-            yield from self.batch(batch)
-        release_memory()
+        try:
+            for batch in text_batches(texts, ENCODED_CHARS):
+                yield from self.batch(batch)
+        finally:  # also where not all is read
+            release_memory()
 
 
 @lru_cache(maxsize=4)
