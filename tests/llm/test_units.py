@@ -282,3 +282,72 @@ def test_a_worker_gives_back_what_it_no_longer_needs():
     for _ in e.each(texts):
         pass
     assert megabytes() - before < 50
+
+
+class Recorder:
+    """A tokenizer that keeps what it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_a_rare_match_far_on_is_not_encoded_again():
+    """Texts are encoded in batches of 8 M characters, so a task's rare words seldom come twice (op9_token_files)."""
+    from vertexloom.llm.common import tokenizer_file
+    from vertexloom.llm.tokenizing import Encoder
+
+    e = Encoder(tokenizer_file("byte_bpe_50k.json"))
+    e.pieces_only = Recorder(e.pieces_only)
+    texts = ["a b" * 50_000 + " zxqwerty."] + ["a b" * 50_000] * 40 + ["c zxqwerty, d"]
+    assert len(list(e.each(texts))) == 42
+    assert [m for call in e.pieces_only.calls for t in call for m in t.split(e.divider)].count("Ġzxqwerty") == 1
+
+
+def test_calls_with_whole_words_are_small():
+    """The library gets words of other alphabets in calls of bounded size (op9_token_files)."""
+    from vertexloom.llm.common import tokenizer_file
+    from vertexloom.llm.tokenizing import Encoder
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    library, e, rng = Tokenizer.from_file(path), Encoder(path), random.Random(2)
+    texts = [" ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(9)) for _ in range(500)) for _ in range(80)]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    e.tokenizer = Recorder(e.tokenizer)
+    assert [x.tolist() for x in e.batch(texts)] == expected
+    assert max(sum(map(len, call)) for call in e.tokenizer.calls) < 200_000
+
+
+def test_matches_start_where_the_public_pattern_says():
+    """Plain strings side by side are split each by itself (op9_token_files)."""
+    import pyarrow as pa
+    import regex
+
+    from vertexloom.llm import tokenizing
+
+    rng, pattern = random.Random(9), regex.compile(P.PATTERN)
+    alphabet = [*"aB7_.'stmdrevl\n ", "é", "œ", "Ÿ", "ß", "'re", "'ll", "'s", "  "]
+    for _ in range(3_000):
+        strings = ["".join(rng.choices(alphabet, k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))]
+        raw, begin = tokenizing._buffers(pa.array(strings, pa.large_string()))
+        starts = [*tokenizing.piece_starts(raw, begin).tolist(), len(raw)]
+        expected = [m for s in strings for m in pattern.findall(s)]
+        assert [bytes(raw[a:b]).decode() for a, b in zip(starts, starts[1:])] == expected, strings
+    every = [chr(c) for c in range(0xD800)] + [chr(c) for c in range(0xE000, 0x11000)] + ["😀", "", "aé", "é×", "a\x7f"]
+    good = tokenizing.plain(*tokenizing._buffers(pa.array(every, pa.large_string()))).tolist()
+    assert [c for c, g in zip(every, good) if g] == [
+        c for c in every if regex.fullmatch("[\\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*", c)
+    ]
+
+
+def test_a_block_is_decoded_at_once():
+    """Reading a store unpacks each block in one go, with the ids of reading it in parts (op9_token_files)."""
+    rng = np.random.default_rng(3)
+    for width in (1, 7, 16, 17, 32):
+        for n in (0, 1, 63, 64, 1_001):
+            ids = rng.integers(0, 1 << width, n, dtype=np.uint64).astype("<u4")
+            found = token_store.unpack_ids(token_store.pack_ids(ids, width), width, n)
+            assert found.dtype == "<u4" and found.tolist() == ids.tolist()

@@ -53,6 +53,23 @@ def pack_ids(ids: np.ndarray, width: int) -> bytes:
     return out.tobytes()[: -(-len(ids) * width // 8)]
 
 
+def unpack_ids(payload: bytes, width: int, n_ids: int) -> np.ndarray:
+    """All ids of a packed block, by the same steps as :func:`pack_ids`."""
+    lanes, words = 64 // math.gcd(64, width), width // math.gcd(64, width)
+    cycles = -(-n_ids // lanes)
+    packed = np.zeros(8 * cycles * words, np.uint8)
+    packed[: len(payload)] = np.frombuffer(payload, np.uint8)
+    packed = packed.view("<u8").reshape(cycles, words)
+    out = np.empty((cycles, lanes), "<u4")
+    for lane in range(lanes):
+        word, shift = divmod(lane * width, 64)
+        value = packed[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= packed[:, word + 1] << np.uint64(64 - shift)
+        out[:, lane] = value & np.uint64((1 << width) - 1)
+    return out.reshape(-1)[:n_ids]
+
+
 def read_ids(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a packed block; only their bytes are touched."""
     if stop <= start:
@@ -142,7 +159,8 @@ def _read(spark: SparkSession, path: str, column: str, digest) -> DataFrame:
                 at = starts[b.shard] + b.first_id
                 bounds = np.asarray(b.doc_offsets, np.int64)
                 rows = {"doc_id": pd.array(list(b.doc_ids), "Int64"), "start": at + bounds[:-1], "n_tokens": np.diff(bounds)}
-                rows[name] = [digest(read_ids(b.payload, b.width, lo, hi)) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                ids = unpack_ids(b.payload, b.width, b.n_ids)
+                rows[name] = [digest(ids[lo:hi]) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pd.DataFrame(rows)
 
     return blocks.mapInPandas(run, f"doc_id long, start long, n_tokens long, {column}")

@@ -26,19 +26,26 @@ MEMORY = 48 << 20  # bytes one memory of words may take, about; then it starts a
 LONGEST = 64  # characters of the longest stretch that is remembered
 ENTRY = 170  # bytes an entry takes besides its content, about
 BATCH_CHARS = 1 << 20  # texts handled at once have so many characters, or are one text
-ENCODED_CHARS = 1 << 22  # the same for the encoder
+ENCODED_CHARS = 1 << 23  # the same for the encoder
+WHOLE_CHARS = 1 << 17  # the same for texts the library gets whole
 FREQUENT = 4  # words that occur so often in a batch are remembered
+WORDS = 1 << 18  # words whose ids are put together at once, or those of one text
 MATCHES = 10_000  # matches of the pattern the library gets in one call
 
-#: The public pattern in the syntax of ``re``; the two agree on the characters of PLAIN.
-PIECES = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-)
-PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*")
+#: Classes of bytes for the public pattern; all other bytes begin or continue a letter.
+OTHER, DIGIT, BLANK, LETTER = range(4)
+CLASSES = np.full(256, LETTER, np.uint8)
+CLASSES[ord(" ") : ord("~") + 1] = [
+    BLANK if c == " " else DIGIT if c.isdigit() else LETTER if c.isalpha() else OTHER for c in map(chr, range(ord(" "), ord("~") + 1))
+]
+CLASSES[ord("\n")] = BLANK
+#: Characters whose classes these are, besides those of ASCII: pairs of bytes as numbers.
+PLAIN_PAIRS = np.zeros(1 << 16, bool)
+PLAIN_PAIRS[[int.from_bytes(c.encode()) for c in "ŒœŠšŽžŸ" + "".join(map(chr, range(0xC0, 0x100))) if c not in "×÷"]] = True
+PLAIN_BYTES = np.zeros(256, bool)
+PLAIN_BYTES[[ord("\n"), *range(ord(" "), ord("~") + 1)]] = True
 SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 ASCII_SPACES = [c for c in SPACES if c.isascii()]
-#: Chunks of such characters that start with white space and end in something else.
-IN_ROW = re.compile(r"[\n ][\n -~À-ÖØ-öø-ÿŒœŠšŽžŸ]*[!-~À-ÖØ-öø-ÿŒœŠšŽžŸ]")
 WORD_STARTS = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
@@ -122,23 +129,73 @@ class Memory:
         return found
 
 
-def _distinct(words) -> tuple[list[str], np.ndarray]:
-    """The distinct ones of an Arrow array of words, and which of them stands at each place."""
-    coded = words.dictionary_encode()
-    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-
-
-def _at_places(ids: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words place by place, from those of the distinct words; where each place stops, behind a 0."""
-    starts, of_place = np.cumsum(lengths) - lengths, lengths[at]
-    stops = np.concatenate([[0], np.cumsum(of_place)])
-    return ids[np.repeat(starts[at] - stops[:-1], of_place) + np.arange(stops[-1])], stops
-
-
-def _byte_sizes(raw: bytes) -> np.ndarray:
-    """Sizes of what bytes 0 divide."""
-    zeros = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0)
-    return np.diff(zeros, prepend=-1, append=len(raw)) - 1
+def _after_spaces(texts, what: str) -> list[bool]:
+    """:func:`after_space` of each text of an Arrow array."""
+    import pyarrow.compute as pc
+
+    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SPACES) + "]" + what
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).tolist()
+
+
+def _runs(bounds: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+    """First and last of texts that have about so many words together; ``bounds`` has where each text's words end."""
+    first = 0
+    while first < len(bounds):
+        before = bounds[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(bounds, before + words, side="right")))
+        yield first, last
+        first = last
+
+
+def _buffers(strings) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an Arrow array of large strings or binaries, and where each begins, with the end."""
+    if not len(strings):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = strings.buffers()
+    begin = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    raw = np.frombuffer(data, np.uint8)[begin[0] : begin[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, begin - begin[0]
+
+
+def plain(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which of the strings side by side in ``raw`` have plain characters only."""
+    odd = np.flatnonzero(~PLAIN_BYTES[raw])
+    if not len(odd):
+        return np.ones(len(begin) - 1, bool)
+    value = raw[odd].astype(np.uint16)
+    leads = value >= 0xC0
+    after = raw[np.minimum(odd + 1, len(raw) - 1)]
+    # A lead tells of its character; what is no lead and above 0x7F continues one.
+    bad = np.where(leads, ~PLAIN_PAIRS[value << np.uint16(8) | after], value < 0x80)
+    of = np.searchsorted(begin, odd[bad], side="right") - 1
+    good = np.ones(len(begin) - 1, bool)
+    good[of] = False
+    return good
+
+
+def piece_starts(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where the matches of the public pattern start in plain, non-empty strings side by side."""
+    kind = CLASSES[raw]
+    first = np.zeros(len(raw) + 3, bool)  # of a string
+    first[begin] = True
+    white = np.zeros(len(raw) + 1, bool)
+    np.equal(kind, BLANK, out=white[:-1])
+    now, before = white[1:-1], white[:-2]
+    start = first[: len(raw)].copy()
+    # Of several blanks the last one is left to what follows, unless the string ends there.
+    start[1:] |= np.where(now, ~before | ~(white[2:] | first[2 : len(raw) + 1]), ~before & (kind[1:] != kind[:-1]))
+    start[1:] |= ~now & (raw[:-1] == ord("\n"))
+    marks = np.flatnonzero((raw == ord("'")) & start)
+    if len(marks):
+        padded = np.concatenate([raw, np.zeros(2, np.uint8)])
+        one, two = padded[marks + 1], padded[marks + 2]
+        short = np.isin(one, list(b"stmd")) & ~first[marks + 1]
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        long &= ~first[marks + 1] & ~first[marks + 2]
+        start[marks[short | long] + 1] = False
+        behind = np.concatenate([marks[short] + 2, marks[long] + 3])
+        start[behind[behind < len(raw)]] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
@@ -172,56 +229,71 @@ class Encoder:
         self.other = Memory(self.chunks, limit=limit)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode_matches(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of matches of the pattern side by side, and how many each has: one call of the model."""
-        # The byte 0 stands between matches, and its letter is the divider.
-        raw = "\0".join(pieces).encode()
-        mapped = self.letter_codes[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+        found = []
+        for some in text_batches(texts, WHOLE_CHARS):  # the library takes some 100 bytes a token
+            found += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return found
+
+    def _encode_matches(self, divided: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the pattern side by side, and how many each has: one call of the model.
+
+        The byte 0 stands between matches, and its letter is the divider.
+        """
+        mapped = self.letter_codes[divided].tobytes().decode("utf-32-le")
         ids = np.array(self.pieces_only.encode_batch_fast([mapped])[0].ids, "<u4")
-        return ids, np.diff(self._stops(ids, _byte_sizes(raw)), prepend=0)
+        return ids, np.diff(self._stops(ids, sizes), prepend=0)
 
     def _stops(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Where stretches of ``sizes`` bytes side by side end among their ids."""
         return np.searchsorted(np.cumsum(self.token_length[ids]), np.cumsum(sizes)) + 1
 
-    def _cut(self, pieces: list[str], sizes: np.ndarray) -> list[bytes]:
-        """Ids of stretches of ``sizes`` bytes, given as matches of the pattern.
+    def _plain_ids(self, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain, non-empty strings side by side, and where those of each end.
 
-        Each distinct match is encoded once; tokens are dealt out by length.
+        Each distinct match of the pattern is encoded once; tokens are dealt out by length.
         """
         import pyarrow as pa
 
-        if not pieces:
-            return []
-        distinct, at = _distinct(pa.array(pieces, pa.large_string()))
-        found = [self._encode_matches(distinct[i : i + MATCHES]) for i in range(0, len(distinct), MATCHES)]
-        ids, _ = _at_places(*map(np.concatenate, zip(*found)), at)
-        raw, stops = ids.tobytes(), (4 * self._stops(ids, sizes)).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+        starts = np.append(piece_starts(raw, begin), len(raw))
+        buffers = [None, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(raw))]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers).dictionary_encode()
+        own, bounds = _buffers(coded.dictionary)
+        sizes = np.diff(bounds)
+        divided = np.zeros(len(own) + len(sizes), np.uint8)
+        divided[np.arange(len(own)) + np.repeat(np.arange(len(sizes)), sizes)] = own
+        counts, parts = [], []
+        for i in range(0, len(sizes), MATCHES):
+            stop = min(i + MATCHES, len(sizes))
+            found = self._encode_matches(divided[bounds[i] + i : bounds[stop] + stop - 1], sizes[i:stop])
+            parts.append(found[0])
+            counts.append(found[1])
+        stops = 4 * np.cumsum(np.concatenate([[0], *counts]), dtype=np.int64)
+        values = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(stops), pa.py_buffer(np.concatenate(parts))])
+        ids = _buffers(values.take(coded.indices))[0].view("<u4")
+        return ids, self._stops(ids, np.diff(begin))
 
     def chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of stretches of text, each by itself.
 
-        Those that start with a blank or line break and end in something else are split
-        by the pattern side by side, as no match goes on from one to the next.
+        Those of plain characters are split by the pattern side by side.
         """
-        row = list(map(IN_ROW.fullmatch, chunks))
-        together = chunks if all(row) else [c for c, r in zip(chunks, row) if r]
-        found = self._cut(PIECES.findall("".join(together)), _byte_sizes("\0".join(together).encode()) if together else ())
-        if len(together) == len(chunks):
+        import pyarrow as pa
+
+        strings = pa.array(chunks, pa.large_string())
+        raw, begin = _buffers(strings)
+        good = plain(raw, begin) & (np.diff(begin) > 0)
+        if not good.all():
+            raw, begin = _buffers(strings.filter(pa.array(good)))
+        found = []
+        if len(raw):
+            ids, stops = self._plain_ids(raw, begin)
+            raw_ids, stops = ids.tobytes(), (4 * stops).tolist()
+            found = [raw_ids[a:b] for a, b in zip([0, *stops], stops)]
+        if good.all():
             return found
-        rest = [c for c, r in zip(chunks, row) if not r]
-        plain = [PLAIN.fullmatch(c) is not None for c in rest]
-        apart = [c for c, p in zip(rest, plain) if p and c]
-        matches = [m for c in apart for m in PIECES.findall(c)]
-        single = iter(self._cut(matches, [len(c.encode()) for c in apart]))
-        whole = iter(self._whole([c for c, p in zip(rest, plain) if not p]))
-        others = iter([b"" if not c else next(single) if p else next(whole) for c, p in zip(rest, plain)])
-        found = iter(found)
-        return [next(found) if r else next(others) for r in row]
+        single = iter(found)
+        whole = iter(self._whole([c for c, g in zip(chunks, good.tolist()) if c and not g]))
+        return [next(single) if g else next(whole) if c else b"" for c, g in zip(chunks, good.tolist())]
 
     def _after_blanks(self, words: list[str]) -> list[bytes]:
         """Ids of words and the blank before them; a line break stands instead of one."""
@@ -229,14 +301,19 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian uint32."""
+        import pyarrow as pa
+
         special, heads, rests = [], [], []
-        for text in texts:
+        given = pa.array(texts, pa.large_string())
+        doubled, broken = _after_spaces(given, " "), _after_spaces(given, "\n")
+        del given
+        for text, two_blanks, blank_lines in zip(texts, doubled, broken):
             rests.append(None)
             if self.special is not None and self.special.search(text):
                 special.append(text)
                 heads.append(None)
-            elif " \n" not in text and blanks_alone(text):
-                head, blank, rest = (text if after_space(text, "\n") else text.replace("\n", " \n")).partition(" ")
+            elif not two_blanks and " \n" not in text:
+                head, blank, rest = (text if blank_lines else text.replace("\n", " \n")).partition(" ")
                 heads.append([head])
                 rests[-1] = rest if blank else None
             else:
@@ -252,15 +329,22 @@ class Encoder:
         import pyarrow.compute as pc
 
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
-        distinct, at = _distinct(words.flatten())
-        often = (np.bincount(at, minlength=len(distinct)) >= FREQUENT).tolist()
-        kept = iter(self.after_blank.of([[w for w, o in zip(distinct, often) if o]])[0])
-        others = iter(self._after_blanks([w for w, o in zip(distinct, often) if not o]))
-        raw = [next(kept) if o else next(others) for o in often]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        ids, stops = _at_places(np.frombuffer(b"".join(raw), "<u4"), lengths, at)
-        return np.split(ids, stops[np.cumsum(counts)[:-1]])
+        bounds = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        coded = words.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        often = np.bincount(at, minlength=len(distinct)) >= FREQUENT
+        raw = self.after_blank.of([distinct[often].tolist()])[0] + self._after_blanks(distinct[~often].tolist())
+        place = np.empty(len(distinct), np.int64)
+        place[np.concatenate([np.flatnonzero(often), np.flatnonzero(~often)])] = np.arange(len(distinct))
+        values = pa.array(raw, pa.large_binary())
+        found = []
+        for n, m in _runs(bounds, WORDS):
+            first = bounds[n - 1] if n else 0
+            ids, stops = _buffers(values.take(pa.array(place[at[first : bounds[m - 1]]])))
+            ends = stops[bounds[n:m] - first] // 4
+            ids = ids.view("<u4")
+            found += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        return found
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.batch([text or ""])[0]
