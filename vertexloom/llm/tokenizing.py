@@ -304,7 +304,7 @@ class Encoder:
         import pyarrow as pa
 
         special, heads, rests = [], [], []
-        given = pa.array(texts, pa.large_string())
+        given = pa.array([t.encode() for t in texts], pa.large_binary()).cast(pa.large_string())  # a str would keep its bytes
         doubled, broken = _after_spaces(given, " "), _after_spaces(given, "\n")
         del given
         for text, two_blanks, blank_lines in zip(texts, doubled, broken):
